@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import embeddings, langid, minhash
+from siltworks.llm import embeddings, langid, linededup, minhash
 from siltworks.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept of all ``documents``, with the hash of the text that is left."""
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all ``embeddings`` at a cosine of 0.9."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -26,8 +31,8 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_embedding_near_dedup, op4_minhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE_SQL}
