@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import embeddings, langid, linededup, minhash
+from siltworks.llm import embeddings, langid, linededup, minhash, mixing, urlfilter
 from siltworks.llm.common import table
 
 
@@ -30,9 +30,24 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of all ``documents``."""
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every URL of ``pages``."""
+    listed = urlfilter.rules(spark, urlfilter.DOMAIN_RULES, urlfilter.PATTERN_RULES)
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup, op7_source_mixing, op10_url_filters)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": linededup.ORACLE_SQL,
+    "op7_source_mixing": mixing.ORACLE_SQL,
+    "op10_url_filters": urlfilter.oracle_sql(),
+}
