@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import embeddings, langid, linededup, minhash, mixing, urlfilter
+from siltworks.llm import embeddings, langid, linededup, minhash, mixing, pii, urlfilter
 from siltworks.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all ``documents``."""
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every URL of ``pages``."""
     listed = urlfilter.rules(spark, urlfilter.DOMAIN_RULES, urlfilter.PATTERN_RULES)
@@ -42,7 +47,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup, op7_source_mixing, op10_url_filters)
+    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup, op7_source_mixing, op8_pii, op10_url_filters)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
