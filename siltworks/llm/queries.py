@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import embeddings, langid, linededup, minhash, mixing, pii, urlfilter
+from siltworks.llm import embeddings, langid, linededup, minhash, mixing, pii, simhash, urlfilter
 from siltworks.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all ``documents`` and of their edited texts."""
+    return simhash.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of all ``documents``."""
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -47,7 +52,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup, op7_source_mixing, op8_pii, op10_url_filters)
+    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_fingerprints, op7_source_mixing, op8_pii, op10_url_filters)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
