@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import embeddings, langid, linededup, minhash, mixing, pii, simhash, urlfilter
+from siltworks.llm import embeddings, langid, linededup, minhash, mixing, pii, simhash, toxicity, urlfilter
 from siltworks.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all ``documents``, learned from ``labels``."""
+    return toxicity.grade(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of all ``documents``."""
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -52,7 +57,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_fingerprints, op7_source_mixing, op8_pii, op10_url_filters)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_line_dedup,
+        op3_embedding_near_dedup,
+        op4_minhash_near_dedup,
+        op5_fingerprints,
+        op6_toxicity,
+        op7_source_mixing,
+        op8_pii,
+        op10_url_filters,
+    )
 }
 
 #: DuckDB SQL for the queries that SQL can express.
