@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import embeddings, langid, linededup, minhash, mixing, pii, simhash, toxicity, urlfilter
+from siltworks.llm import bpe, embeddings, langid, linededup, minhash, mixing, pii, simhash, toxicity, urlfilter
 from siltworks.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of ``documents``."""
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -50,6 +57,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all ``documents`` by the public byte-level vocabulary, and the text that they decode to, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every URL of ``pages``."""
     listed = urlfilter.rules(spark, urlfilter.DOMAIN_RULES, urlfilter.PATTERN_RULES)
@@ -67,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_toxicity,
         op7_source_mixing,
         op8_pii,
+        op9_bpe,
         op10_url_filters,
     )
 }
