@@ -32,10 +32,15 @@ WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _key() -> Column:
+    return F.concat_ws(":", F.col("doc_id"), F.xxhash64("source", "text"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, place): place is the document's in the shuffle."""
+    """(row, key, doc_id, source, size, place): key tells documents apart but for repeated rows, place is the document's in the shuffle."""
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
+        _key().alias("key"),
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -111,11 +116,13 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, once for each sending, with the text up to the last word taken."""
-    named = docs.withColumn("_row", F.concat_ws(":", F.col("doc_id"), F.xxhash64("source", "text")))
-    rows = cut(sized(docs.select(F.concat_ws(":", F.col("doc_id"), F.xxhash64("source", "text")).alias("doc_id"), "source", "text")))
+    rows = cut(sized(docs))
     sent = packets(rows, cut(source_targets(rows))).where("taken > 0")
-    sent = sent.groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list("taken").alias("_takens"), F.max("size").alias("_size"))
-    out = named.join(sent, "_row").withColumn("_taken", F.explode("_takens"))
+    sent = cut(sent.groupBy(F.col("key").alias("_key")).agg(F.collect_list("taken").alias("_takens"), F.max("size").alias("_size"), F.countDistinct("row").alias("_rows")))
+    named = docs.withColumn("_key", _key())
+    if sent.where("_rows > 1").head(1):  # rows that repeat an id and text: what is taken of them is given by one
+        named = named.dropDuplicates(["_key"])
+    out = named.join(sent, "_key").withColumn("_taken", F.explode("_takens"))
     first = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', _taken, '}'), 0)")
     return out.withColumn("text", F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text"))).select(*docs.columns)
 
