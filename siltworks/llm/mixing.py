@@ -123,7 +123,9 @@ def mix(docs: DataFrame) -> DataFrame:
     if sent.where("_rows > 1").head(1):  # rows that repeat an id and text: what is taken of them is given by one
         named = named.dropDuplicates(["_key"])
     out = named.join(sent, "_key").withColumn("_taken", F.explode("_takens"))
-    first = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', _taken, '}'), 0)")
+    # each word with the white space before it
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    first = F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), "")
     return out.withColumn("text", F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text"))).select(*docs.columns)
 
 

@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             tails = np.zeros((len(batch), m.params.grades))
             for k, text in enumerate(batch["text"]):
                 f, c, n = text_features(text, m.params)
-                if n:
+                if n and np.isfinite(m.theta[0]):
                     at, x = values(f, c, n, m.known)
                     tails[k] = sigmoid(x @ m.weights[at] - m.theta)
             chance = -np.diff(np.hstack((np.ones((len(batch), 1)), tails, np.zeros((len(batch), 1)))), axis=1)
