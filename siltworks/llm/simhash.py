@@ -4,9 +4,9 @@ The terms of a text are its runs of ``width`` words (lower-cased runs of letters
 weighted by how often they occur. Each term's 128-bit hash votes with its weight for or against each bit; the
 fingerprint is the signs. Two fingerprints are alike by the share of equal bits.
 
-``neighbours`` finds all fingerprints within ``radius`` bits: the bits are permuted into radius + 1 blocks, of which two
-such fingerprints share one at least; each block is a table, and the candidates of a bucket are compared in full, block by
-block of bounded size (see ``blocks``). Equal fingerprints are one item, weighted by their number.
+``neighbours_of`` finds all fingerprints within ``radius`` bits: the bits are permuted into radius + k blocks, of which two
+such fingerprints share k at least; each choice of k blocks is a table, k the least number that leaves buckets of a few
+items, however many there are. The candidates of a bucket are compared in full, block by block of bounded size (see ``blocks``). Equal fingerprints are one item, weighted by their number.
 
 Results in odd cases: a null text is an empty one; texts without words have the fingerprint of zeros and link with nothing but
 count as equal to each other in ``likeness``. Rows that repeat an id and text are documents of their own. Null ids come
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,7 @@ class Params:
     width: int = 5
     radius: int = 6
     seed: int = 5
+    per_bucket: int = 16
 
 
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1).astype(np.float64)
@@ -59,14 +61,26 @@ def likeness(a: bytes, b: bytes) -> float:
     return 1 - (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() / BITS
 
 
+def tables(n: int, p: Params) -> list[np.ndarray]:
+    """The bits of each table for n items: all choices of k of radius + k blocks."""
+    order = np.random.default_rng(p.seed).permutation(BITS)
+    for k in range(1, p.radius + 2):
+        blocks = np.array_split(order, p.radius + k)
+        bits = k * (BITS // (p.radius + k))
+        if n <= p.per_bucket << bits or bits > 48:
+            break
+    return [np.concatenate(c) for c in combinations(blocks, k)]
+
+
 def neighbours_of(fingerprints: DataFrame, p: Params) -> DataFrame:
     """(fp, n_near): by distinct fingerprint (fp binary, weight long) the weight of the others within the radius, and its own less one."""
-    blocks = np.array_split(np.random.default_rng(p.seed).permutation(BITS), p.radius + 1)
+    items = cut(fingerprints.select(F.monotonically_increasing_id().alias("id"), "fp", "weight"))
+    chosen = tables(items.count(), p)
 
     def tabled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int64)
-            codes = np.stack([bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in blocks], axis=1)
+            codes = np.stack([bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in chosen], axis=1)
             yield pd.DataFrame({"id": batch["id"], "weight": batch["weight"], "payload": batch["fp"], "codes": list(codes)})
 
     def close(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +88,6 @@ def neighbours_of(fingerprints: DataFrame, p: Params) -> DataFrame:
         apart = sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int64) for k in range(2))
         return np.nonzero(apart <= p.radius)
 
-    items = cut(fingerprints.select(F.monotonically_increasing_id().alias("id"), "fp", "weight"))
     worded = items.where(F.col("fp") != F.lit(bytes(BITS // 8)))
     found = links(worded.mapInPandas(tabled, "id long, weight long, payload binary, codes array<long>"), close)
     near = found.groupBy("id").agg(F.sum("n").alias("n"))

@@ -134,6 +134,24 @@ def test_simhash_rows_and_neighbours(spark, documents, odd):
     assert simhash.report(odd.limit(0)).count() == 0
 
 
+def test_simhash_with_larger_tables(spark, monkeypatch):
+    """Pairs of blocks as tables, as for very many items."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2, (40, 128))
+    near = base[rng.integers(0, 40, 80)].copy()
+    for row in near:
+        row[rng.choice(128, rng.integers(1, 10), replace=False)] ^= 1
+    prints = list({np.packbits(x).tobytes() for x in np.concatenate([base, near])})
+    df = spark.createDataFrame([(bytearray(x), 1 + k % 2) for k, x in enumerate(prints)], "fp binary, weight long")
+    p, many = simhash.Params(), simhash.tables(1 << 28, simhash.Params())
+    assert len(simhash.tables(100, p)) == 7 and len(many) == 28
+    monkeypatch.setattr(simhash, "tables", lambda n, p: many)
+    got = {bytes(r.fp): r.n_near for r in simhash.neighbours_of(df, p).collect()}
+    n = [int.from_bytes(x) for x in prints]
+    for k, x in enumerate(prints):
+        assert got[x] == sum(1 + j % 2 for j in range(len(n)) if (n[j] ^ n[k]).bit_count() <= 6) - 1
+
+
 def test_word_hashes():
     a = word_hashes("The quick, brown FOX! über 42")
     assert len(a) == 6 and (a == word_hashes("the QUICK brown fox ÜBER 42")).all()
