@@ -254,3 +254,25 @@ def smallest(blobs: DataFrame, levels: tuple[int, ...] = (1, 6, 9)) -> DataFrame
         arm = compress(blobs, level).select("stream_id", "level", F.octet_length("packed").cast("long").alias("packed_bytes"))
         arms = arm if arms is None else arms.union(arm)
     return arms.groupBy("stream_id").agg(F.min(F.struct("packed_bytes", "level")).alias("m")).select("stream_id", "m.level", "m.packed_bytes")
+
+
+def framed(raw_packed: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(stream_id, packed): raw DEFLATE with a gzip header before it and the checksum and size of its blob after it."""
+    le = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
+    tail = blobs.select("stream_id", le(F.crc32("raw")).alias("crc"), le(F.octet_length("raw").cast("long")).alias("size"))
+    joined = raw_packed.join(tail, "stream_id")
+    return joined.select("stream_id", F.concat(F.lit(bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255])), "packed", "crc", "size").alias("packed"))
+
+
+def huffman_only(blobs: DataFrame) -> DataFrame:
+    """(stream_id, packed): raw streams of literals alone, which are Deflate64 too."""
+
+    @F.pandas_udf("binary")
+    def packed(raw: pd.Series) -> pd.Series:
+        def one(x: bytes) -> bytes:
+            c = zlib.compressobj(9, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+            return c.compress(bytes(x)) + c.flush()
+
+        return raw.map(one)
+
+    return blobs.select("stream_id", packed("raw").alias("packed"))

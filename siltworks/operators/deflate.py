@@ -29,6 +29,8 @@ def _steps(first: int, doubled: int, codes: int) -> list[tuple[int, int]]:
 
 LENGTHS = [*_steps(3, 4, 28), (258, 0)]
 DISTANCES = _steps(1, 2, 30)
+#: The wide form: the last length has 16 extra bits, and two more distances reach back 64 KiB.
+WIDE_LENGTHS, WIDE_DISTANCES = [*_steps(3, 4, 28), (3, 16)], _steps(1, 2, 32)
 
 
 class Bits:
@@ -102,14 +104,19 @@ def table_hash(lit: tuple[int, ...], dist: tuple[int, ...]) -> str:
     return f"{h:016x}"
 
 
-def walk(data: bytes, at: int) -> Iterator[tuple]:
-    """The blocks of the DEFLATE stream at byte ``at``: (start_bit, header_bits, data_bits, type, final, table, tokens); tokens are (length, distance), a literal (0, 0), stored bytes (-n, 0)."""
+def walk(data: bytes, at: int, wide: bool = False) -> Iterator[tuple]:
+    """The blocks of the DEFLATE stream at byte ``at``: (start_bit, header_bits, data_bits, type, final, table, tokens).
+
+    Tokens are (length, distance, bits, value): a literal has length 0, distance 0 and its byte as value, stored bytes are
+    (-n, 0, 8n, byte of the stream). ``wide`` reads Deflate64.
+    """
+    length_steps, distance_steps = (WIDE_LENGTHS, WIDE_DISTANCES) if wide else (LENGTHS, DISTANCES)
     bits = Bits(data, 8 * at)
     final = 0
     while not final:
         start = bits.at
         final, kind = bits.read(1), bits.read(2)
-        tokens: list[tuple[int, int]] = []
+        tokens: list[tuple[int, int, int, int]] = []
         table = None
         if kind == 0:
             bits.at = (bits.at + 7) & ~7
@@ -120,23 +127,26 @@ def walk(data: bytes, at: int) -> Iterator[tuple]:
             bits.at += 8 * n
             if bits.at > 8 * len(data):
                 raise ValueError("truncated")
-            tokens.append((-n, 0))
+            tokens.append((-n, 0, 8 * n, body // 8))
         elif kind == 3:
             raise ValueError("reserved block type")
         else:
             lit, dist = dynamic_lengths(bits) if kind == 2 else FIXED_LENGTHS
             table = table_hash(lit, dist) if kind == 2 else None
             body, lit_code, dist_code = bits.at, decoder(lit), decoder(dist)
+            at_token = bits.at
             while (s := symbol(bits, lit_code)) != 256:
                 if s < 256:
-                    tokens.append((0, 0))
-                elif s - 257 < len(LENGTHS):
-                    base, extra = LENGTHS[s - 257]
+                    tokens.append((0, 0, bits.at - at_token, s))
+                elif s - 257 < len(length_steps):
+                    base, extra = length_steps[s - 257]
                     n = base + bits.read(extra)
-                    base, extra = DISTANCES[symbol(bits, dist_code)]
-                    tokens.append((n, base + bits.read(extra)))
+                    base, extra = distance_steps[symbol(bits, dist_code)]
+                    distance = base + bits.read(extra)
+                    tokens.append((n, distance, bits.at - at_token, 0))
                 else:
                     raise ValueError("no such length")
+                at_token = bits.at
         yield start - 8 * at, body - start, bits.at - body, kind, bool(final), table, tokens
     walk.end = (bits.at + 7) // 8
 
@@ -154,7 +164,7 @@ def header_end(data: bytes, at: int) -> int:
     return h + (2 if flag & 2 else 0)
 
 
-BLOCKS = "member long, block long, start_bit long, header_bits long, data_bits long, btype string, final boolean, table_fp string, span_bytes long, tokens array<struct<length:int,distance:int>>, error string"
+BLOCKS = "member long, block long, start_bit long, header_bits long, data_bits long, btype string, final boolean, table_fp string, span_bytes long, tokens array<struct<length:int,distance:int,bits:int>>, error string"
 
 
 def blocks(packed: DataFrame) -> DataFrame:
@@ -166,7 +176,7 @@ def blocks(packed: DataFrame) -> DataFrame:
             while at < len(data):
                 body = header_end(data, at)
                 for start, head, bits, kind, final, table, tokens in walk(data, body):
-                    size = sum(abs(length) or 1 for length, d in tokens if d or length == 0 or length < 0) if kind else -tokens[0][0]
+                    size = sum(abs(n) or 1 for n, *_ in tokens)
                     yield member, n, start, head, bits, BLOCK_TYPES[kind], final, table, size, tokens, None
                     n += 1
                 at, member = walk.end + 8, member + 1
@@ -181,7 +191,7 @@ def blocks(packed: DataFrame) -> DataFrame:
             for i, data in zip(batch["stream_id"], batch["packed"], strict=True):
                 rows = [(i, *r) for r in rows_of(bytes(data))]
                 made = pd.DataFrame(rows, columns=["stream_id", *names])
-                made["tokens"] = made["tokens"].map(lambda t: None if t is None else [{"length": a, "distance": d} for a, d in t])
+                made["tokens"] = made["tokens"].map(lambda t: None if t is None else [{"length": a, "distance": d, "bits": b} for a, d, b, _ in t])
                 yield made.astype({k: "Int64" for k in ("start_bit", "header_bits", "data_bits", "span_bytes")} | {"final": "boolean"})
 
     id_type = packed.schema["stream_id"].dataType.simpleString()
@@ -189,14 +199,22 @@ def blocks(packed: DataFrame) -> DataFrame:
 
 
 def tokens(walked: DataFrame) -> DataFrame:
-    """(stream_id, pos, block, length, distance): positioned tokens; a literal has distance 0 and length 1, stored bytes are literals one by one."""
+    """(stream_id, pos, block, length, distance, bits): positioned tokens; a literal has distance 0 and length 1, stored bytes are literals one by one."""
     each = walked.where("error is null").select("stream_id", "block", F.posexplode("tokens").alias("k", "t"))
-    single = F.expr("if(t.length < 0, sequence(1, -t.length), array(1))")
-    one = each.where("t.length <> 0 or t.distance = 0").where("not (t.length = 0 and t.distance <> 0)")
-    one = one.select("stream_id", "block", "k", F.col("t.length").alias("length"), F.col("t.distance").alias("distance"), F.posexplode(F.when(F.col("t.length") != 0, single).otherwise(F.array(F.lit(1)))).alias("j", "_"))
-    sized = one.select("stream_id", "block", "k", "j", F.when(F.col("distance") > 0, F.col("length")).otherwise(1).cast("long").alias("length"), F.col("distance").cast("long").alias("distance"))
+    copies = F.when(F.col("t.length") < 0, F.sequence(F.lit(1), -F.col("t.length"))).otherwise(F.array(F.lit(1)))
+    one = each.where("t.length <> 0 or t.distance = 0").select("stream_id", "block", "k", "t", F.posexplode(copies).alias("j", "_"))
+    match = F.col("t.distance") > 0
+    sized = one.select(
+        "stream_id",
+        "block",
+        "k",
+        "j",
+        F.when(match, F.col("t.length")).otherwise(1).cast("long").alias("length"),
+        F.col("t.distance").cast("long").alias("distance"),
+        F.when(F.col("t.length") < 0, 8).otherwise(F.col("t.bits")).cast("long").alias("bits"),
+    )
     before = Window.partitionBy("stream_id").orderBy("block", "k", "j").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.select("stream_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("pos"), "block", "length", "distance")
+    return sized.select("stream_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("pos"), "block", "length", "distance", "bits")
 
 
 def block_fingerprints(walked: DataFrame) -> DataFrame:
@@ -298,3 +316,68 @@ def match_histograms(positioned: DataFrame) -> DataFrame:
 
     m = positioned.where("distance > 0")
     return m.groupBy("stream_id", bucket(F.col("length"), LENGTH_ENDS).alias("length_bucket"), bucket(F.col("distance"), DISTANCE_ENDS).alias("distance_bucket")).agg(F.count("*").alias("n"))
+
+
+def bit_account(ours: DataFrame, theirs: DataFrame, our_sizes: DataFrame, their_sizes: DataFrame) -> DataFrame:
+    """(stream_id, class, regions, bits_ours, bits_theirs): where two packings of the same bytes spend their bits; the classes add up to both sizes.
+
+    ``ours`` and ``theirs`` are walks, the sizes (stream_id, file_bytes). Equal tokens are ``same``; runs of others are regions, named by
+    their first pair; block headers, ends of blocks, padding and the container's frame are ``frame``.
+    """
+    a, b = (tokens(w).select("stream_id", "pos", *[F.col(c).alias(f"{c}_{n}") for c in ("length", "distance", "bits")]) for w, n in ((ours, "a"), (theirs, "b")))
+    met = a.join(b, ["stream_id", "pos"], "full_outer")
+    same = F.coalesce((F.col("length_a") == F.col("length_b")) & (F.col("distance_a") == F.col("distance_b")), F.lit(False))
+    order = Window.partitionBy("stream_id").orderBy("pos")
+    # a region is what lies between two equal tokens
+    island = F.sum(same.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kind = (
+        F.when((F.col("distance_a") == 0) & (F.col("distance_b") > 0), "literal_match")
+        .when((F.col("distance_a") > 0) & (F.col("distance_b") == 0), "match_literal")
+        .when(F.col("length_a") != F.col("length_b"), "length")
+        .otherwise("distance")
+    )
+    marked = met.select("stream_id", "pos", same.alias("same"), island.alias("island"), kind.alias("kind"), F.coalesce("bits_a", F.lit(0)).alias("x"), F.coalesce("bits_b", F.lit(0)).alias("y"))
+    regions = marked.groupBy("stream_id", "island", "same").agg(F.min_by("kind", "pos").alias("kind"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    named = regions.withColumn("class", F.when(F.col("same"), "same").otherwise(F.col("kind")))
+    by = named.groupBy("stream_id", "class").agg(F.count("*").alias("regions"), F.sum("x").alias("bits_ours"), F.sum("y").alias("bits_theirs"))
+    spent = by.groupBy("stream_id").agg(F.sum("bits_ours").alias("x"), F.sum("bits_theirs").alias("y"))
+    sizes = our_sizes.select("stream_id", F.col("file_bytes").alias("p")).join(their_sizes.select("stream_id", F.col("file_bytes").alias("q")), "stream_id")
+    frame = sizes.join(spent, "stream_id").select(
+        "stream_id", F.lit("frame").alias("class"), F.lit(1).cast("long").alias("regions"), (F.col("p") * 8 - F.col("x")).alias("bits_ours"), (F.col("q") * 8 - F.col("y")).alias("bits_theirs")
+    )
+    return by.unionByName(frame)
+
+
+def inflate64(packed: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """(stream_id, raw, error) of raw Deflate64 blobs: the wide walk's tokens copied out in order."""
+
+    def opened(data: bytes) -> bytes:
+        out = bytearray()
+        for *_, found in walk(data, 0, wide=True):
+            for length, distance, _, value in found:
+                if length < 0:
+                    out += data[value : value - length]
+                elif not distance:
+                    out.append(value)
+                else:
+                    if distance > len(out):
+                        raise ValueError("distance before the start")
+                    if len(out) + length > most:
+                        raise ValueError(f"more than {most} bytes")
+                    start = len(out) - distance
+                    for k in range(0, length, distance):
+                        out += out[start : start + min(distance, length - k)]
+        return bytes(out)
+
+    def batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for data in batch["packed"]:
+                try:
+                    rows.append((opened(bytes(data)), None))
+                except (ValueError, IndexError) as e:
+                    rows.append((None, str(e)))
+            yield pd.DataFrame({"stream_id": batch["stream_id"].tolist(), "raw": [r[0] for r in rows], "error": [r[1] for r in rows]})
+
+    id_type = packed.schema["stream_id"].dataType.simpleString()
+    return packed.select("stream_id", "packed").mapInPandas(batches_of, f"stream_id {id_type}, raw binary, error string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import labels
-from siltworks.operators import bytestats, codec, deflate, lz, measure, trace
+from siltworks.operators import bytestats, codec, deflate, lz, measure, seek, trace
 from siltworks.plans import inputs
 from siltworks.sources.blobs import complete_set, table_blobs
 
@@ -156,6 +156,41 @@ def table_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deflate.table_frequency(_walked(spark, sf_dir))
 
 
+def bit_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left once the classes are taken off both sizes: nothing."""
+    a, b = (_walked(spark, sf_dir, n) for n in (1, 9))
+    x, y = (_packed(spark, sf_dir, "benchmark", n).select("stream_id", F.octet_length("packed").cast("long").alias("file_bytes")) for n in (1, 9))
+    return deflate.bit_account(a, b, x, y)
+
+
+def deflate64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams without matches are the same in both forms."""
+    back = deflate.inflate64(codec.huffman_only(table_blobs(spark, sf_dir, "benchmark")))
+    return back.select("stream_id", F.octet_length("raw").cast("long").alias("bytes"), F.sha2("raw", 256).alias("sha256"))
+
+
+def index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred bytes from the middle of each text, by checkpoints every 512 bytes of packed chunks."""
+    blobs = table_blobs(spark, sf_dir, "benchmark")
+    framed = codec.framed(codec.reassembled(codec.chunked(blobs, 128)), blobs)
+    wanted = blobs.select("stream_id", F.floor(F.octet_length("raw") / 2).alias("offset"), F.lit(100).alias("size"))
+    got = seek.index_seek(framed, seek.index_build(framed, 512), wanted)
+    return got.select("stream_id", "offset", F.sha2("part", 256).alias("sha256"))
+
+
+def as_of_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as checkpoints of their customer: the last one at or before each of some offsets."""
+    o = inputs.read(spark, sf_dir, "orders")
+    points = o.select(F.col("o_custkey").alias("stream_id"), F.col("o_orderkey").alias("output_at"), F.col("o_orderkey").alias("point"), F.col("o_orderkey").alias("input_at"), F.lit(None).cast("string").alias("error"))
+    wanted = inputs.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), (F.col("c_custkey") * 7).alias("offset"))
+    return seek.as_of(wanted, points).select("stream_id", "offset", F.coalesce("point", F.lit(-1)).alias("point"))
+
+
+def rolling_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With small bounds, so that texts are cut at all."""
+    return seek.rolling_cuts(table_blobs(spark, sf_dir), 64, 0x3F, 256, 4096)
+
+
 def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.win_rate(inputs.cells(spark, sf_dir), ("corpus_set",))
 
