@@ -127,7 +127,8 @@ def walk(data: bytes, at: int, wide: bool = False) -> Iterator[tuple]:
             bits.at += 8 * n
             if bits.at > 8 * len(data):
                 raise ValueError("truncated")
-            tokens.append((-n, 0, 8 * n, body // 8))
+            if n:
+                tokens.append((-n, 0, 8 * n, body // 8))
         elif kind == 3:
             raise ValueError("reserved block type")
         else:

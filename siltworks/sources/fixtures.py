@@ -46,7 +46,7 @@ def blobs(spark: SparkSession, size: int = 1 << 20, seed: int = 1) -> DataFrame:
 def surface(spark: SparkSession, size: int = 1 << 16, seed: int = 1) -> DataFrame:
     """(stream_id, entropy_bits, period, alphabet, raw) over a grid: symbols of an alphabet that repeat after a period with random ones in between."""
     axis = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    grid = axis("entropy_bits", (2, 4, 6, 8)).crossJoin(axis("period", (16, 128, 1024, 8192))).withColumn("alphabet", F.shiftleft(F.lit(1), F.col("entropy_bits")))
+    grid = axis("entropy_bits", (2, 4, 6, 8)).crossJoin(axis("period", (16, 128, 1024, 8192))).withColumn("alphabet", F.pow(F.lit(2), F.col("entropy_bits")).cast("int"))
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
