@@ -1,7 +1,11 @@
-"""Byte statistics: histogram, entropy, content type, canvas. Built-in expressions; the payload is dropped at the first step."""
+"""Byte statistics: histogram, entropy, content type, canvas. The payload is dropped at the first step, the rest is built-in expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +14,22 @@ from siltworks.functions.labels import backend, buffer_size, chunk_size, entropy
 SAMPLE = 8192
 
 
-def _bytes(raw: str) -> object:
-    """A blob's bytes as pairs of hex digits: the array is made where the blob is, never next to it in a row."""
-    return F.regexp_extract_all(F.hex(raw), F.lit("(..)"), F.lit(1))
+def byte_hist(blobs: DataFrame, sample: int | None = None) -> DataFrame:
+    """(stream_id, byte, n): counts of the bytes that occur, of the first ``sample`` bytes or of all.
+
+    Each blob is counted where it lies, at most 256 rows come of it and nothing is shuffled; exploding the bytes into rows
+    costs several times as much.
+    """
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = [np.bincount(np.frombuffer(bytes(raw), np.uint8), minlength=256) for raw in batch["raw"]]
+            if counts:
+                row, byte = np.nonzero(counts)
+                yield pd.DataFrame({"stream_id": batch["stream_id"].to_numpy()[row], "byte": byte.astype(np.int32), "n": np.array(counts)[row, byte]})
 
-def byte_hist(blobs: DataFrame, sample: int | None = None) -> DataFrame:
-    """(stream_id, byte, n): counts of the bytes that occur, of the first ``sample`` bytes or of all."""
     raw = blobs.select("stream_id", F.substring("raw", 1, sample).alias("raw") if sample else F.col("raw"))
-    each = raw.select("stream_id", F.explode(_bytes("raw")).alias("pair"))
-    counted = each.groupBy("stream_id", "pair").agg(F.count("*").alias("n"))
-    return counted.select("stream_id", F.conv("pair", 16, 10).cast("int").alias("byte"), "n")
+    return raw.mapInPandas(counted, f"stream_id {raw.schema['stream_id'].dataType.simpleString()}, byte int, n long")
 
 
 def entropy(blobs: DataFrame) -> DataFrame:
