@@ -98,9 +98,9 @@ def packets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     time_slot = F.least(F.floor(F.col("finish") * SLOTS), F.lit(2 * SLOTS)).cast("int")
     sent = sent.withColumn("all", F.lit(0))
     total = _running(sent, ["all"], time_slot, ["finish", "place", "repeat", "size", "row"], "words", "sent")
-    budget = targets.agg(F.floor(F.sum("source_size") * FACTOR).alias("budget"))
-    taken = F.least(F.col("words"), F.greatest(F.col("budget") - F.col("sent"), F.lit(0)))
-    return total.join(F.broadcast(budget)).withColumn("taken", taken).drop("all", "words", "sent", "budget", "start")
+    budget = targets.agg(F.floor(F.sum("source_size") * FACTOR)).head()[0] or 0
+    taken = F.least(F.col("words"), F.greatest(F.lit(int(budget)) - F.col("sent"), F.lit(0)))
+    return total.withColumn("taken", taken).drop("all", "words", "sent", "start")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
