@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression of a severity grade on sparse text features.
 
-Features are hashed words and word beginnings of 4 to 7 characters; a feature's value is the logarithm of one plus its
-count. Those that go with the labels by a G-test over the training sample are learned, and the text's length. One weight vector is shared by all thresholds: P(grade >= k) is the logistic of w.x - theta_k with ordered
+Features are hashed words and word beginnings of 4 to 7 characters; each has two values, the logarithms of one plus its
+count and of one plus its rate in 100 words. Those that go with the labels by a G-test over the training sample are learned. One weight vector is shared by all thresholds: P(grade >= k) is the logistic of w.x - theta_k with ordered
 theta. Weights are trained by FTRL-proximal with an l1 and l2 penalty, thresholds by AdaGrad on the first and the
 logarithms of the gaps.
 
@@ -42,7 +42,8 @@ class Params:
     beta: float = 1.0
     l1: float = 0.05
     l2: float = 1e-3
-    least_g: float = 30.0  # G-statistic from which a feature is learned
+    least_g: float = 15.0  # G-statistic from which a feature is learned, and its least share of the sample's size
+    least_share: float = 0.02
     marked: float = 10.0  # how much more frequent among toxic documents a marked term is
 
 
@@ -50,7 +51,7 @@ class Params:
 class Model:
     params: Params
     known: np.ndarray  # by feature: is it learned
-    weights: np.ndarray  # by feature, the length's last
+    weights: np.ndarray  # by feature, of counts and then of rates
     theta: np.ndarray
 
 
@@ -78,6 +79,10 @@ def text_features(text: str | None, p: Params) -> tuple[np.ndarray, np.ndarray,
     return feature.astype(np.int64), count, len(start)
 
 
+def _plain(x: object) -> object:
+    return bytes(x) if isinstance(x, bytearray) else x
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[tuple], float]:
     """Sampled (toxic, words, features, counts), ordered by content, and the share of toxic labels."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod5() != 0)
@@ -98,14 +103,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list
 
     # the sample has about 2 x per_class ids of a few bytes, whatever the size of the labels
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    got = sorted(tuple(r) for r in texts.mapInPandas(make, "toxic int, words long, feature binary, n binary").collect())
+    # copies teach once
+    got = sorted({tuple(map(_plain, r)) for r in texts.mapInPandas(make, "toxic int, words long, feature binary, n binary").collect()})
     return [(t, n, np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for t, n, f, c in got if n], sizes[1] / (sizes[0] + sizes[1])
 
 
 def values(f: np.ndarray, c: np.ndarray, words: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The learned features of a text and their values, its length last."""
-    at = known[f]
-    return np.append(f[at], len(known)), np.append(np.log1p(c[at]), np.log1p(words / 100))
+    """The learned features of a text, by how often they come and, behind these, by how often in 100 words; a text without any has the score 0."""
+    f, c = f[known[f]], c[known[f]]
+    return np.concatenate((f, f + len(known))), np.concatenate((np.log1p(c), np.log1p(c * (100 / words))))
 
 
 def associated(sample: list[tuple], p: Params) -> np.ndarray:
@@ -117,7 +123,7 @@ def associated(sample: list[tuple], p: Params) -> np.ndarray:
     cells, total = np.stack((seen, n - seen)), n.sum()
     expected = cells.sum(axis=1, keepdims=True) * n[None] / total
     g = 2 * (cells * np.log(np.maximum(cells, 1e-12) / np.maximum(expected, 1e-12))).sum(axis=(0, 1))
-    return g >= p.least_g
+    return g >= max(p.least_g, p.least_share * total)
 
 
 def severity_grades(sample: list[tuple], p: Params) -> np.ndarray:
@@ -141,11 +147,11 @@ def sigmoid(z: np.ndarray | float) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     sample, share = training_sample(docs, labels, p)
     if len({t for t, *_ in sample}) < 2:
-        return Model(p, np.zeros(1 << p.bits, bool), np.zeros((1 << p.bits) + 1), np.full(p.grades, np.inf))
+        return Model(p, np.zeros(1 << p.bits, bool), np.zeros(2 << p.bits), np.full(p.grades, np.inf))
     y = severity_grades(sample, p)
     known = associated(sample, p)
     xs = [values(f, c, w, known) for _, w, f, c in sample]
-    z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
+    z, n = np.zeros(2 << p.bits), np.zeros(2 << p.bits)
     free, past = np.concatenate(([1.0], np.zeros(p.grades - 1))), np.full(p.grades, 1e-6)  # first threshold, log gaps
     order = np.random.default_rng(3)
     for _ in range(p.epochs):
