@@ -7,7 +7,7 @@ as well makes no difference. Blank lines stay.
 
 * Equal lines meet by a 128-bit hash in an aggregate with partial results, so a hot line costs a row a task.
 * Two lines within one edit share their first or their last half. Only lines that share a half with another
-  distinct line emit their neighbourhood: a hash for each deletion, by exclusive or of position-bound word hashes.
+  distinct line emit their neighbourhood, as far as it lies outside the shared half: a hash for each deletion, by exclusive or of position-bound word hashes.
 * Equal variants are joined to the earliest line that has them, never to each other, and the words of both
   lines are compared before a line goes.
 
@@ -53,7 +53,9 @@ def first_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     n = F.size("words")
     half, less = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
     w = F.col("words")
-    halves = F.when(n >= near_words, F.array_distinct(F.array(_head(w, half), _tail(w, half), _head(w, less), _tail(w, less))))
+    part = lambda head, h: F.struct(F.lit(head).alias("head"), h.alias("half"))
+    parts = [part(True, _head(w, half)), part(False, _tail(w, half)), part(True, _head(w, less)), part(False, _tail(w, less))]
+    halves = F.when(n >= near_words, F.array_distinct(F.array(*parts)))
     return (
         _numbered(_keyed(docs))
         .select(
@@ -69,26 +71,35 @@ def first_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """The ``first`` of every distinct line that is within one edit of an earlier one."""
-    halves = firsts.where("halves is not null").select("first", F.explode("halves").alias("half"))
+    halves = firsts.where("halves is not null").select("first", F.explode("halves").alias("h")).select("first", "h.*")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    active = cut(halves.join(shared, "half", "left_semi").select("first.*").distinct())
+    met = halves.join(shared, "half", "left_semi").groupBy("first")
+    # an edit beyond a shared head is in the rest of the line, one before a shared tail likewise
+    active = cut(met.agg(F.bool_or("head").alias("head"), F.bool_or(~F.col("head")).alias("tail")))
+    active = active.select("first.*", "head", "tail")
     # the words of the lines that may have a neighbour
-    mine = active.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("line_nos"))
-    mine = cut(mine.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "line_nos"))
+    mine = active.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line_no", "head", "tail")).alias("marks"))
+    mine = cut(mine.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "marks"))
     mine = maybe_broadcast(mine, active.count())
     texts = _keyed(docs).join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).dropDuplicates(["doc_id", "h"])
-    lines = texts.select("doc_id", "h", F.explode("line_nos").alias("line_no"), F.split("text", "\n").alias("lines")).select(
-        F.struct("doc_id", "h", "line_no").alias("first"), words_of(F.get("lines", "line_no")).alias("words")
+    lines = texts.select("doc_id", "h", F.explode("marks").alias("m"), F.split("text", "\n").alias("lines")).select(
+        F.struct("doc_id", "h", "m.line_no").alias("first"), words_of(F.get("lines", "m.line_no")).alias("words"), "m.head", "m.tail"
     )
     lines = cut(lines)
     # the hash of a line without word i is (words before i) xor (words after i, one place earlier)
-    word = lines.select("first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")).select(
-        "first", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved")
+    least = ((F.col("n") - 1) / 2).cast("int")  # the shorter of the halves
+    word = lines.select("first", F.size("words").alias("n"), "head", "tail", F.posexplode("words").alias("i", "word")).select(
+        "first",
+        "n",
+        "i",
+        ((F.col("head") & (F.col("i") >= least)) | (F.col("tail") & (F.col("i") < F.col("n") - least))).alias("may_differ"),
+        F.xxhash64("word", "i").alias("here"),
+        F.xxhash64("word", F.col("i") - 1).alias("moved"),
     )
     line = Window.partitionBy("first").orderBy("i")
     before = F.coalesce(F.bit_xor("here").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     after = F.coalesce(F.bit_xor("moved").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0).cast("long"))
-    variants = word.select("first", F.struct("n", "i", before.bitwiseXOR(after).alias("rest")).alias("v"))
+    variants = word.select("first", F.struct("n", "i", before.bitwiseXOR(after).alias("rest")).alias("v"), "may_differ").where("may_differ").drop("may_differ")
     whole = word.groupBy("first", "n").agg(F.bit_xor("here").alias("rest"))
     # another word at the same place: the variants are equal, and so is the place
     low = variants.groupBy("v").agg(F.min("first").alias("early"), F.count("*").alias("met")).where("met > 1").select("v", "early")
