@@ -21,7 +21,7 @@ import os
 import re
 import tempfile
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern of byte-level pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-STRETCH = 4_000_000  # characters that are encoded at once
+STRETCH = 2_000_000  # characters that are encoded at once
+CELLS = 500_000  # ids that are merged side by side
 LONG = 256  # bytes of a word that is merged by itself
 
 
@@ -137,7 +138,7 @@ class Vocabulary:
                 break
             width = max(8, 1 << (width - 1).bit_length()) if width > 1 else 1
             end = at + int(np.searchsorted(size[order[at:]], min(width, LONG), side="right"))
-            end = min(end, at + max(1, 2_000_000 // width))
+            end = min(end, at + max(1, CELLS // width))
             rows = order[at:end]
             ids = np.full((len(rows), width), -1, np.int32)
             column = np.arange(width)
@@ -315,6 +316,14 @@ class Lexicon:
         return rank
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Texts to ids: the distinct words of a stretch of texts by the lexicon, those outside it by merging."""
 
@@ -338,8 +347,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Added tokens are words of their own, told apart by their place."""
-        index: dict[str, int] = {}
-        number = lambda w: index.setdefault(w, len(index))
+        index = Numbers()
         rows, added = [], []
         for text in texts:
             words = []
@@ -349,7 +357,7 @@ class Encoder:
                     words.append("")
                 elif part:
                     words += self.v.pieces(f" {part}" if self.v.prefix and part[0] != " " else part)
-            rows.append(np.fromiter(map(number, words), np.int64, len(words)))
+            rows.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
         lengths, ids = self.word_ids([w.encode("utf-8", "surrogatepass") for w in index])
         starts, out = np.cumsum(lengths) - lengths, []
         for row in rows:
@@ -373,10 +381,15 @@ def stretches(texts: list[str], size: int = STRETCH) -> Iterator[list[str]]:
 
 
 @cache
-def _worker_encoder(vocabulary: str, lexicon: str) -> Encoder:
-    """The encoder of a Python worker, from the files that Spark has put on its machine."""
+def _worker_vocabulary(vocabulary: str) -> Vocabulary:
+    """The vocabulary of a Python worker, from the file that Spark has put on its machine."""
     with open(SparkFiles.get(vocabulary), encoding="utf-8") as f:
-        return Encoder(Vocabulary(f.read()), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+        return Vocabulary(f.read())
+
+
+@cache
+def _worker_encoder(vocabulary: str, lexicon: str) -> Encoder:
+    return Encoder(_worker_vocabulary(vocabulary), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
 def _hand_out(df: DataFrame, content: bytes, ending: str) -> str:
@@ -395,7 +408,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, p: Params) -> list[str]:
     """The ``lexicon`` most frequent words of the whole table, ties in their order."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, seen = _worker_encoder(vocabulary, "").v, Counter()
+        v, seen = _worker_vocabulary(vocabulary), Counter()
 
         def told() -> Iterator[pd.DataFrame]:
             often = [x for x in seen.items() if x[1] > 1]
@@ -415,8 +428,19 @@ def frequent_words(docs: DataFrame, vocabulary: str, p: Params) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(p.lexicon).select("word").collect()]  # a fixed number of words
 
 
-def encoded(docs: DataFrame, path: str, p: Params = Params(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ids array<int> of the text and decoded, the text of these ids. ``path``: the tokenizer file, on the driver."""
+def encoded(
+    docs: DataFrame,
+    path: str,
+    p: Params = Params(),
+    keep: tuple[str, ...] = ("doc_id",),
+    told: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    told_schema: str = "ids array<int>, decoded string",
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ids array<int> of the text and decoded, the text of these ids. ``path``: the tokenizer file, on the driver.
+
+    ``told`` makes of these rows, batch by batch where they are, the columns of ``told_schema`` behind ``keep``; ids that only a digest
+    needs aren't moved. Batches go on in stretches of a bounded number of characters.
+    """
     with open(path, "rb") as f:
         vocabulary = f.read()
     name = _hand_out(docs, vocabulary, ".json")
@@ -428,19 +452,24 @@ def encoded(docs: DataFrame, path: str, p: Params = Params(), keep: tuple[str, .
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = _worker_encoder(name, lexicon)
         for batch in batches:
-            ids = [x for some in stretches(list(batch["text"])) for x in e.encode(some)]
-            decoded = pd.Series([e.v.decode(x) for x in ids], dtype=object, index=batch.index)
-            yield batch[list(keep)].assign(ids=[x.astype(np.int32) for x in ids], decoded=decoded)
+            at = 0
+            for some in stretches(list(batch["text"])):
+                ids = e.encode(some)
+                out = batch[list(keep)].iloc[at : at + len(some)]
+                at += len(some)
+                decoded = pd.Series([e.v.decode(x) for x in ids], dtype=object, index=out.index)
+                out = out.assign(ids=ids, decoded=decoded)
+                yield told(out) if told else out
 
-    return rows.mapInPandas(encode, f"{schema}, ids array<int>, decoded string")
+    return rows.mapInPandas(encode, f"{schema}, {told_schema}")
 
 
-def digests(docs: DataFrame, path: str, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs``: ``encoded``, with digests made where the ids are."""
-    rows = encoded(docs, path, p)
+def _digested(rows: pd.DataFrame) -> pd.DataFrame:
+    ids = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows["ids"]]
+    decoded = [hashlib.sha256(x.encode()).hexdigest() for x in rows["decoded"]]
+    return rows.drop(columns=["ids", "decoded"]).assign(n_tokens=rows["ids"].map(len), ids_sha256=ids, decoded_sha256=decoded)
 
-    @F.pandas_udf("string")
-    def hashed(ids: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids], dtype=object)
 
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hashed("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, p: Params = Params()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs``: ``encoded``, with digests made where the ids are."""
+    return encoded(docs, path, p, told=_digested, told_schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
