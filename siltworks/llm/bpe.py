@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as the lexicon of frequent words.
 
 * Words are the pieces of the byte-level pattern; they are counted over the whole table, in stretches of each task first (a
-  word that comes once in a stretch is none of the frequent), and the ``lexicon`` most frequent are merged to ids once.
+  word that comes once in a stretch is none of the frequent), and the most frequent, up to ``lexicon``, are merged to ids once.
 * These words become a minimal acyclic automaton over their bytes: equal suffixes are one set of states. Each arc carries the
   number of words that sort before, so a word's walk adds up to its rank, which finds its ids. The arrays are one
   file, which Spark hands to each executor and every Python worker there maps into memory.
@@ -32,6 +32,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.llm.common import cut
+
 #: Fixed value: the pattern of byte-level pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STRETCH = 2_000_000  # characters that are encoded at once
@@ -405,7 +407,7 @@ def _hand_out(df: DataFrame, content: bytes, ending: str) -> str:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, p: Params) -> list[str]:
-    """The ``lexicon`` most frequent words of the whole table, ties in their order."""
+    """The most frequent words of the whole table, ``lexicon`` of them at most: all of a count, within a sixteenth of an octave, or none."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, seen = _worker_vocabulary(vocabulary), Counter()
@@ -425,7 +427,17 @@ def frequent_words(docs: DataFrame, vocabulary: str, p: Params) -> list[str]:
         yield from told()
 
     counts = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(p.lexicon).select("word").collect()]  # a fixed number of words
+    counts = cut(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    # the lowest level of counts that the lexicon has room for, from the top: about a thousand levels come to the driver
+    least, room = None, p.lexicon
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return [r["word"] for r in counts.where(F.col("level") >= least).select("word").collect()]  # no more than the lexicon holds
 
 
 def encoded(
