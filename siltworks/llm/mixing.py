@@ -95,7 +95,9 @@ def packets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
     sent = sent.withColumn("words", words.cast("long")).withColumn("finish", finish)
     # the whole table by virtual finish time; what lies beyond the budget isn't sent
-    time_slot = F.least(F.floor(F.col("finish") * SLOTS), F.lit(2 * SLOTS)).cast("int")
+    # documents that send nothing come after all others, spread over slots of their own: their place doesn't matter
+    idle = F.lit(2 * SLOTS + 1) + F.pmod(F.hash("row"), F.lit(SLOTS))
+    time_slot = F.when(F.col("words") > 0, F.least(F.floor(F.col("finish") * SLOTS), F.lit(2 * SLOTS)).cast("int")).otherwise(idle)
     sent = sent.withColumn("all", F.lit(0))
     total = _running(sent, ["all"], time_slot, ["finish", "place", "repeat", "size", "row"], "words", "sent")
     budget = targets.agg(F.floor(F.sum("source_size") * FACTOR)).head()[0] or 0
