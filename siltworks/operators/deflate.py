@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +63,8 @@ def decoder(lengths: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
         for symbol, own in enumerate(lengths):
             if own == n:
                 back = int(format(code, f"0{n}b")[::-1], 2)
-                for k in range(back, 1 << most, 1 << n):
-                    table[k] = (symbol, n)
+                room = len(table[back :: 1 << n])
+                table[back :: 1 << n] = [(symbol, n)] * room
                 code += 1
         code <<= 1
     return most, table
@@ -168,6 +171,28 @@ def header_end(data: bytes, at: int) -> int:
 BLOCKS = "member long, block long, start_bit long, header_bits long, data_bits long, btype string, final boolean, table_fp string, span_bytes long, tokens array<struct<length:int,distance:int,bits:int>>, error string"
 
 
+#: Tokens that a batch of rows holds before it is passed on.
+FLUSH = 1 << 18
+
+
+def rows_batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    """The rows of ``BLOCKS`` as one Arrow batch; tokens go in as three flat columns, not as an object each."""
+    *plain, found, error = zip(*rows, strict=True)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64())
+    offsets, flat, at = [], [array("i"), array("i"), array("i")], 0
+    for t in found:
+        offsets.append(None if t is None else at)
+        if t:
+            for column, values in zip(flat, zip(*t, strict=True), strict=False):
+                column.extend(values)
+            at += len(t)
+    fields = [pa.array(np.frombuffer(c, np.int32) if c else [], pa.int32()) for c in flat]
+    tokens = pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), pa.StructArray.from_arrays(fields, names=["length", "distance", "bits"]))
+    columns = [pa.array(c, t) for c, t in zip(plain, types, strict=True)]
+    names = ["stream_id", *(c.split()[0] for c in BLOCKS.split(", "))]
+    return pa.RecordBatch.from_arrays([ids, *columns, tokens, pa.array(error, pa.string())], names=names)
+
+
 def blocks(packed: DataFrame) -> DataFrame:
     """(stream_id, member, block, start_bit, header_bits, data_bits, btype, final, table_fp, span_bytes, tokens, error) of every gzip blob."""
 
@@ -186,17 +211,22 @@ def blocks(packed: DataFrame) -> DataFrame:
         except (ValueError, IndexError) as e:
             yield member, n, None, None, None, None, None, None, None, None, str(e)
 
-    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["member", "block", "start_bit", "header_bits", "data_bits", "btype", "final", "table_fp", "span_bytes", "tokens", "error"]
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in zip(batch["stream_id"], batch["packed"], strict=True):
-                rows = [(i, *r) for r in rows_of(bytes(data))]
-                made = pd.DataFrame(rows, columns=["stream_id", *names])
-                made["tokens"] = made["tokens"].map(lambda t: None if t is None else [{"length": a, "distance": d, "bits": b} for a, d, b, _ in t])
-                yield made.astype({k: "Int64" for k in ("start_bit", "header_bits", "data_bits", "span_bytes")} | {"final": "boolean"})
+            ids, rows, n = [], [], 0
+            for k, data in enumerate(batch.column("packed")):
+                for r in rows_of(data.as_py() or b""):
+                    ids.append(k)
+                    rows.append(r)
+                    n += len(r[-2] or ())
+                    if n >= FLUSH:
+                        yield rows_batch(batch.column("stream_id").take(pa.array(ids)), rows)
+                        ids, rows, n = [], [], 0
+            if rows:
+                yield rows_batch(batch.column("stream_id").take(pa.array(ids)), rows)
 
     id_type = packed.schema["stream_id"].dataType.simpleString()
-    return packed.select("stream_id", "packed").mapInPandas(walked, f"stream_id {id_type}, {BLOCKS}")
+    return packed.select("stream_id", "packed").mapInArrow(walked, f"stream_id {id_type}, {BLOCKS}")
 
 
 def tokens(walked: DataFrame) -> DataFrame:

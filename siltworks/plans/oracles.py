@@ -61,6 +61,9 @@ ORACLES = {
     "token_sizes": f'WITH {BENCH} SELECT stream_id, octet_length(raw) AS bytes, octet_length(raw) AS "end" FROM blobs',
     "deflate64_round_trip": f"WITH {BENCH} SELECT stream_id, octet_length(raw) AS bytes, sha256(raw) AS sha256 FROM blobs",
     "index_seek": f"WITH {BENCH} SELECT stream_id, octet_length(raw) // 2 AS \"offset\", sha256(unhex(hex(raw)[(octet_length(raw) // 2 * 2 + 1):(octet_length(raw) // 2 * 2 + 200)])) AS sha256 FROM blobs",
+    "token_sizes_documents": f'WITH {BLOBS} SELECT stream_id, octet_length(raw) AS bytes, octet_length(raw) AS "end" FROM blobs',
+    "deflate64_documents": f"WITH {BLOBS} SELECT stream_id, octet_length(raw) AS bytes, sha256(raw) AS sha256 FROM blobs",
+    "index_seek_documents": f"WITH {BLOBS} SELECT stream_id, octet_length(raw) // 2 AS \"offset\", sha256(unhex(hex(raw)[(octet_length(raw) // 2 * 2 + 1):(octet_length(raw) // 2 * 2 + 200)])) AS sha256 FROM blobs",
     "as_of_checkpoint": """WITH w AS (SELECT c_custkey AS stream_id, c_custkey * 7 AS "offset" FROM customer)
       SELECT w.stream_id, w."offset", coalesce(o.o_orderkey, -1) AS point FROM w ASOF LEFT JOIN orders o ON w.stream_id = o.o_custkey AND w."offset" >= o.o_orderkey""",
     "level_params": """SELECT * FROM (VALUES (0, 'stored', 0, 32, 0), (1, 'fast', 1, 32, 1), (2, 'greedy', 6, 10, 2), (3, 'lazy', 12, 14, 3), (4, 'greedy', 16, 30, 4),

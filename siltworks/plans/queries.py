@@ -109,8 +109,8 @@ def analysis_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.analysis_card(table_blobs(spark, sf_dir))
 
 
-def _walked(spark: SparkSession, sf_dir: str, level: int = 6) -> DataFrame:
-    return deflate.blocks(_packed(spark, sf_dir, "benchmark", level))
+def _walked(spark: SparkSession, sf_dir: str, level: int = 6, table: str = "documents") -> DataFrame:
+    return deflate.blocks(_packed(spark, sf_dir, table, level))
 
 
 def walk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +122,25 @@ def block_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deflate.stream_fingerprints(_walked(spark, sf_dir), _packed(spark, sf_dir, "benchmark"))
+    return deflate.stream_fingerprints(_walked(spark, sf_dir), _packed(spark, sf_dir))
 
 
-def token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens' lengths make up each text again."""
-    t = deflate.tokens(_walked(spark, sf_dir))
+def _token_sizes(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    t = deflate.tokens(_walked(spark, sf_dir, table=table))
     return t.groupBy("stream_id").agg(F.sum("length").alias("bytes"), F.max(F.col("pos") + F.col("length")).alias("end"))
 
 
+def token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens' lengths make up each text again; over the small table, as its SQL."""
+    return _token_sizes(spark, sf_dir, "benchmark")
+
+
+def token_sizes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every document; an empty one has no tokens."""
+    sizes = _token_sizes(spark, sf_dir, "documents")
+    return table_blobs(spark, sf_dir).select("stream_id").join(sizes, "stream_id", "left").na.fill(0, ["bytes", "end"])
+
+
 def match_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deflate.match_histograms(deflate.tokens(_walked(spark, sf_dir)))
 
@@ -140,7 +150,7 @@ def diverge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (deflate.stream_fingerprints(_walked(spark, sf_dir, n), _packed(spark, sf_dir, "benchmark", n)) for n in (1, 9))
+    a, b = (deflate.stream_fingerprints(_walked(spark, sf_dir, n), _packed(spark, sf_dir, level=n)) for n in (1, 9))
     return deflate.fingerprint_diff(a, b)
 
 
@@ -159,25 +169,43 @@ def table_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bit_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left once the classes are taken off both sizes: nothing."""
     a, b = (_walked(spark, sf_dir, n) for n in (1, 9))
-    x, y = (_packed(spark, sf_dir, "benchmark", n).select("stream_id", F.octet_length("packed").cast("long").alias("file_bytes")) for n in (1, 9))
+    x, y = (_packed(spark, sf_dir, level=n).select("stream_id", F.octet_length("packed").cast("long").alias("file_bytes")) for n in (1, 9))
     return deflate.bit_account(a, b, x, y)
 
 
-def deflate64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams without matches are the same in both forms."""
-    back = deflate.inflate64(codec.huffman_only(table_blobs(spark, sf_dir, "benchmark")))
+def _deflate64_round_trip(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    back = deflate.inflate64(codec.huffman_only(table_blobs(spark, sf_dir, table)))
     return back.select("stream_id", F.octet_length("raw").cast("long").alias("bytes"), F.sha2("raw", 256).alias("sha256"))
 
 
-def index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred bytes from the middle of each text, by checkpoints every 512 bytes of packed chunks."""
-    blobs = table_blobs(spark, sf_dir, "benchmark")
+def deflate64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams without matches are the same in both forms; over the small table, as its SQL."""
+    return _deflate64_round_trip(spark, sf_dir, "benchmark")
+
+
+def deflate64_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every document."""
+    return _deflate64_round_trip(spark, sf_dir, "documents")
+
+
+def _index_seek(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    blobs = table_blobs(spark, sf_dir, table)
     framed = codec.framed(codec.reassembled(codec.chunked(blobs, 128)), blobs)
     wanted = blobs.select("stream_id", F.floor(F.octet_length("raw") / 2).alias("offset"), F.lit(100).alias("size"))
     got = seek.index_seek(framed, seek.index_build(framed, 512), wanted)
     return got.select("stream_id", "offset", F.sha2("part", 256).alias("sha256"))
 
 
+def index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred bytes from the middle of each text, by checkpoints every 512 bytes of packed chunks; over the small table, as its SQL."""
+    return _index_seek(spark, sf_dir, "benchmark")
+
+
+def index_seek_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every document."""
+    return _index_seek(spark, sf_dir, "documents")
+
+
 def as_of_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as checkpoints of their customer: the last one at or before each of some offsets."""
     o = inputs.read(spark, sf_dir, "orders")

@@ -243,3 +243,20 @@ def test_streaming_unpacks_what_arrives(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.error is None for r in got) == [False, True] and any(r.raw and bytes(r.raw) == b"one" for r in got)
+
+
+def test_walk_queries_cover_the_documents(spark, tmp_path):
+    """One row a document where the queries name streams; long texts have blocks, and distances beyond 4096, that the small table can't."""
+    from siltworks.plans import queries
+
+    texts = ["", "short", " ".join(f"{k * 7919 % 10007} word" for k in range(9000)), "a" + "".join(chr(97 + R.randrange(26)) for _ in range(5000)) * 2]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    fp = {r.stream_id: r for r in queries.stream_fingerprints(spark, str(tmp_path)).collect()}
+    assert {i: r.decoded_bytes for i, r in fp.items()} == {i: len(t) for i, t in enumerate(texts)}
+    assert fp[3].dist_gt4096 > 0 and fp[2].blocks_dynamic > 1
+    sizes = {r.stream_id: (r.bytes, r.end) for r in queries.token_sizes_documents(spark, str(tmp_path)).collect()}
+    assert sizes == {i: (len(t), len(t)) for i, t in enumerate(texts)}
+    acc = queries.bit_account(spark, str(tmp_path)).where("class = 'frame'").collect()
+    assert {r.stream_id for r in acc} >= {1, 2, 3}
+    walked = queries.walk_blocks(spark, str(tmp_path))
+    assert {r.stream_id for r in walked.collect()} == {0, 1, 2, 3} and walked.where("error is not null").count() == 0
