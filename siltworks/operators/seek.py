@@ -51,9 +51,15 @@ def index_build(packed: DataFrame, interval: int = INTERVAL) -> DataFrame:
 
 def as_of(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """``wanted`` (stream_id, offset, size) with the last checkpoint at or before each offset; without one its fields are null."""
-    points = index.where("error is null").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("output_at", "point", "input_at"))).alias("points"))
-    before = F.filter("points", lambda p: p["output_at"] <= F.col("offset"))
-    return wanted.join(points, "stream_id", "left").withColumn("p", F.element_at(F.when(F.size(before) > 0, before), -1)).select(*wanted.columns, "p.point", "p.input_at", "p.output_at")
+    none = lambda frame, cols: F.lit(None).cast(frame.select(F.struct(*cols)).schema[0].dataType)
+    fields = ["output_at", "point", "input_at"]
+    known = index.where("error is null and stream_id is not null and output_at is not null")
+    points = known.select("stream_id", F.col("output_at").alias("at"), F.struct(*fields).alias("p"), none(wanted, wanted.columns).alias("asked"))
+    asked = wanted.select("stream_id", F.col("offset").alias("at"), none(index, fields).alias("p"), F.struct(*wanted.columns).alias("asked"))
+    # points before what asks for the same place, the highest of equal ones last
+    order = Window.partitionBy("stream_id").orderBy("at", F.col("asked").isNotNull(), "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = points.unionByName(asked).withColumn("p", F.last("p", True).over(order))
+    return found.where("asked is not null").select("asked.*", "p.point", "p.input_at", "p.output_at")
 
 
 def index_seek(packed: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:

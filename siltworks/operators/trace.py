@@ -27,12 +27,12 @@ def pair_spans(events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("ph") == "B", F.col("name"))).alias("name"),
         F.min(F.when(F.col("ph") == "B", F.col("seq"))).alias("seq"),
     )
-    # the parent is the last span one level up that began before
-    spans = by.where("start is not null and end is not null")
-    above = Window.partitionBy("pid", "tid").orderBy("start", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.collect_list(F.struct("depth", "name")).over(above)
-    parent = F.element_at(F.filter(opened, lambda x: x["depth"] == F.col("depth") - 1), -1)["name"]
-    return spans.withColumn("parent", F.when(F.col("depth") > 1, parent)).select("pid", "tid", "name", "parent", "depth", "start", "end")
+    # the parent is the last begin one level up: each begin stands at its own level and asks at the one above
+    roles = F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("asks")), F.struct((F.col("depth") - 1).alias("level"), F.lit(True).alias("asks")))
+    placed = by.where("start is not null").withColumn("role", F.explode(roles)).select("*", "role.*")
+    above = Window.partitionBy("pid", "tid", "level").orderBy("start", "seq", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parent = F.last(F.when(~F.col("asks"), F.struct("name")), True).over(above)["name"]
+    return placed.withColumn("parent", parent).where("asks and end is not null").select("pid", "tid", "name", "parent", "depth", "start", "end")
 
 
 def pair_spans_strict(events: DataFrame) -> DataFrame:
@@ -167,9 +167,41 @@ def leaf_time(events: DataFrame) -> DataFrame:
     return timed.withColumn("top", top).where("depth > 0 and elapsed is not null").groupBy("pid", "tid", F.col("top").alias("name")).agg(F.sum("elapsed").alias("total"))
 
 
+#: Stretches of values, of about as many distinct ones each, in which running counts are taken.
+SLOTS = 256
+
+
+def _slot(value: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are at or below the value, by halving."""
+    if not bounds:
+        return F.lit(0)
+    m = len(bounds) // 2
+    right = _slot(value, bounds[m + 1 :]) + (m + 1)
+    return F.when(value < F.lit(bounds[m]), _slot(value, bounds[:m])).otherwise(right)
+
+
 def log_summary(durations: DataFrame, by: str = "name", value: str = "value") -> DataFrame:
-    """(by, n, total, p50, p95, most): percentiles are elements of the sorted list, by index."""
-    s = F.array_sort(F.collect_list(value))
-    got = durations.groupBy(by).agg(F.count("*").cast("int").alias("n"), s.alias("s"))
-    p95 = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95)).cast("int"))
-    return got.select(by, F.col("n").cast("long").alias("n"), F.get("s", F.floor(F.col("n") / 2).cast("int")).alias("p50"), F.get("s", p95).alias("p95"), F.get("s", F.col("n") - 1).alias("most"))
+    """(by, n, p50, p95, most): percentiles are elements of the sorted list, by index; nulls are its end.
+
+    Equal values are counted first; running counts go over slots of values and, in the slots that hold an element, over values.
+    """
+    counted = durations.groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    cuts = counted.select(F.percentile_approx("v", [i / SLOTS for i in range(1, SLOTS)], F.lit(10_000)).alias("cuts")).head()[0]
+    v = F.col("v")
+    slot = F.when(v.isNull(), F.lit(SLOTS)).otherwise(_slot(v, sorted(set(cuts or []))))
+    counted = counted.withColumn("slot", slot)
+    group = Window.partitionBy("g")
+    sums = counted.groupBy("g", "slot").agg(F.sum("k").alias("held"))
+    before = F.coalesce(F.sum("held").over(group.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("g", "slot", "held", before.alias("before"), F.sum("held").over(group).alias("n"))
+    n = F.col("n")
+    ranks = {"p50": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * F.lit(0.95))), "most": n - 1}
+    within = lambda r, start, size: (r >= start) & (r < start + size)
+    wanted = F.array(*[F.when(within(r, F.col("before"), F.col("held")), r) for r in ranks.values()])
+    slots = sums.select(F.col("g").alias("_g"), F.col("slot").alias("_slot"), "before", "n", wanted.alias("ranks")).where(F.exists("ranks", lambda r: r.isNotNull()))
+    met = counted.join(slots, F.col("g").eqNullSafe(F.col("_g")) & (F.col("slot") == F.col("_slot")))
+    own = Window.partitionBy("g", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum("k").over(own), F.lit(0))
+    met = met.withColumn("at", at)
+    found = [F.max(F.when(within(F.get("ranks", F.lit(i)), F.col("at"), F.col("k")), v)).alias(name) for i, name in enumerate(ranks)]
+    return met.groupBy(F.col("g").alias(by)).agg(F.max("n").alias("n"), *found)

@@ -101,3 +101,49 @@ def test_overlaps_by_stretches_are_all_overlaps(spark):
     assert got == want
     w = trace.last_wave(frame(a), 3).head()
     assert w.ratio == w.last_mean / w.all_mean
+
+
+def _gathers(df):
+    return "collect_list" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_log_summary_counts_instead_of_gathering(spark):
+    import random
+
+    r = random.Random(3)
+    values = {"hot": [r.choice([0.0, 1.5, r.expovariate(0.01), r.random() * 1e-6]) for _ in range(3000)], "one": [4.0], "two": [1.0, 2.0], "same": [7.0] * 500, None: [3.0, 1.0, 2.0], "nulls": [1.0, None, None]}
+    df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "name string, value double").repartition(7)
+    out = trace.log_summary(df)
+    assert not _gathers(out)
+    want = {}
+    for k, xs in values.items():
+        s, n = sorted(x for x in xs if x is not None), len(xs)
+        s += [None] * (n - len(s))
+        want[k] = (n, s[n // 2], s[min(n - 1, int(n * 0.95))], s[n - 1])
+    assert {x.name: (x.n, x.p50, x.p95, x.most) for x in out.collect()} == want
+    assert trace.log_summary(df.limit(0)).count() == 0
+
+
+def test_as_of_scans_instead_of_gathering(spark):
+    import random
+
+    from siltworks.operators import seek
+
+    r = random.Random(5)
+    points = [(s, r.randrange(1000), k) for s in (1, 2, None) for k in range(60)]
+    index = spark.createDataFrame([(s, k, k * 2, at, None) for s, at, k in points] + [(1, 99, 1, 0, "bad")], "stream_id long, point long, input_at long, output_at long, error string")
+    asked = [(s, r.randrange(-5, 1005), 10) for s in (1, 2, 3, None) for _ in range(20)] * 2
+    out = seek.as_of(spark.createDataFrame(asked, "stream_id long, offset long, size int"), index)
+    assert not _gathers(out)
+    want = []
+    for s, o, size in asked:
+        best = max(((at, k) for t, at, k in points if s is not None and t == s and at <= o), default=(None, None))
+        want.append((s, o, size, best[1], None if best[1] is None else best[1] * 2, best[0]))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_the_parent_is_the_innermost_open_span(spark):
+    e = events(spark, [(0, "B", "a"), (1, "E", "a"), (2, "B", "open"), (3, "B", "b"), (4, "B", "c"), (5, "E", "c"), (6, "E", "b"), (7, "B", "d"), (8, "E", "d")])
+    out = trace.pair_spans(e)
+    assert not _gathers(out)
+    assert {(r.name, r.parent, r.depth) for r in out.collect()} == {("a", None, 1), ("b", "open", 2), ("c", "b", 3), ("d", "open", 2)}
