@@ -123,8 +123,9 @@ def headers(packed: DataFrame) -> DataFrame:
     base = packed.select("stream_id", "packed", ok.alias("ok"), F.when(ok, flag).alias("flag"))
     base = base.withColumn("extra", F.when(F.col("flag").bitwiseAND(4) > 0, little_endian(F.col("packed"), 11, 2)))
     at = 10 + F.coalesce(F.col("extra") + 2, F.lit(0))
-    text = F.hex(F.substring("packed", at.cast("int") + 1, F.lit(1 << 16)))  # strings end at a zero byte, on an even digit
-    fields = F.split(F.regexp_replace(text, "(..)", "$1 "), "00 ")
+    # strings end at a zero byte, on an even digit, however far it is; without one nothing is read
+    text = F.when(F.col("flag").bitwiseAND(24) > 0, F.hex(F.substring("packed", at.cast("int") + 1, F.octet_length("packed"))))
+    fields = F.split(F.regexp_replace(text, "(..)", "$1 "), "00 ", 3)
     digits = lambda i: F.regexp_replace(F.get(fields, i), " ", "")
     named, noted = F.col("flag").bitwiseAND(8) > 0, F.col("flag").bitwiseAND(16) > 0
     read = base.withColumn("name_hex", F.when(named, digits(F.lit(0)))).withColumn("comment_hex", F.when(noted, digits(F.when(named, 1).otherwise(0))))

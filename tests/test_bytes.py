@@ -260,3 +260,10 @@ def test_walk_queries_cover_the_documents(spark, tmp_path):
     assert {r.stream_id for r in acc} >= {1, 2, 3}
     walked = queries.walk_blocks(spark, str(tmp_path))
     assert {r.stream_id for r in walked.collect()} == {0, 1, 2, 3} and walked.where("error is not null").count() == 0
+
+
+def test_headers_read_long_names_and_comments_whole(spark):
+    name, note, body = b"n" * 70_000, b"c" * 90_000, zlib.compress(b"x", wbits=-15)
+    head = b"\x1f\x8b\x08\x18" + bytes(4) + b"\x00\x03"
+    row = codec.headers(packed(spark, [head + name + b"\0" + note + b"\0" + body + bytes(8)])).head()
+    assert (len(row.name), len(row.comment), row.header_bytes) == (70_000, 90_000, 10 + 70_001 + 90_001)
