@@ -2,7 +2,8 @@
 
 The unit of an edit is a word (a run of anything but ASCII white space, lower-cased). A line goes if an earlier line,
 by document id and line number, has the same words or, for lines of ``near_words`` words or more, is within one
-edit of it: one word more, less or other (a similarity of 0.9 or more from ten words on). That the earlier line goes
+edit of it: one word more, less or other (a similarity of 0.9 or more from ten words on). The earlier line has ``near_words``
+words or more as well: a line of ten stays where only one of nine is within a word of it. That the earlier line goes
 as well makes no difference. Blank lines stay.
 
 * Equal lines meet by a 128-bit hash in an aggregate with partial results, so a hot line costs a row a task.
