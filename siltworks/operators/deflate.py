@@ -137,20 +137,37 @@ def walk(data: bytes, at: int, wide: bool = False) -> Iterator[tuple]:
         else:
             lit, dist = dynamic_lengths(bits) if kind == 2 else FIXED_LENGTHS
             table = table_hash(lit, dist) if kind == 2 else None
-            body, lit_code, dist_code = bits.at, decoder(lit), decoder(dist)
-            at_token = bits.at
-            while (s := symbol(bits, lit_code)) != 256:
+            body = here = bits.at
+            (lit_bits, lit_table), (dist_bits, dist_table) = decoder(lit), decoder(dist)
+            lit_mask, dist_mask, most = (1 << lit_bits) - 1, (1 << dist_bits) - 1, 8 * len(data)
+            while True:
+                # nine bytes hold a token of either form: 15 and 16 bits of length, 15 and 14 of distance
+                ahead = int.from_bytes(data[here >> 3 : (here >> 3) + 9], "little") >> (here & 7)
+                s, used = lit_table[ahead & lit_mask]
+                if s < 0:
+                    raise ValueError("no such code")
                 if s < 256:
-                    tokens.append((0, 0, bits.at - at_token, s))
-                elif s - 257 < len(length_steps):
+                    tokens.append((0, 0, used, s))
+                elif s > 256:
+                    if s - 257 >= len(length_steps):
+                        raise ValueError("no such length")
                     base, extra = length_steps[s - 257]
-                    n = base + bits.read(extra)
-                    base, extra = distance_steps[symbol(bits, dist_code)]
-                    distance = base + bits.read(extra)
-                    tokens.append((n, distance, bits.at - at_token, 0))
-                else:
-                    raise ValueError("no such length")
-                at_token = bits.at
+                    n = base + (ahead >> used & (1 << extra) - 1)
+                    used += extra
+                    d, own = dist_table[ahead >> used & dist_mask]
+                    if d < 0:
+                        raise ValueError("no such code")
+                    used += own
+                    base, extra = distance_steps[d]
+                    distance = base + (ahead >> used & (1 << extra) - 1)
+                    used += extra
+                    tokens.append((n, distance, used, 0))
+                here += used
+                if here > most:
+                    raise ValueError("truncated")
+                if s == 256:
+                    break
+            bits.at = here
         yield start - 8 * at, body - start, bits.at - body, kind, bool(final), table, tokens
     walk.end = (bits.at + 7) // 8
 
@@ -202,7 +219,7 @@ def blocks(packed: DataFrame) -> DataFrame:
             while at < len(data):
                 body = header_end(data, at)
                 for start, head, bits, kind, final, table, tokens in walk(data, body):
-                    size = sum(abs(n) or 1 for n, *_ in tokens)
+                    size = sum(abs(t[0]) or 1 for t in tokens)
                     yield member, n, start, head, bits, BLOCK_TYPES[kind], final, table, size, tokens, None
                     n += 1
                 at, member = walk.end + 8, member + 1
