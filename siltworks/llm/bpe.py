@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import cut
@@ -44,7 +44,7 @@ LONG = 256  # bytes of a word that is merged by itself
 @dataclass(frozen=True)
 class Params:
     lexicon: int = 50_000
-    counted: int = 300_000  # distinct words that a task counts before it passes on those that came twice
+    counted: int = 300_000  # distinct words that a task counts before it passes on their counts
 
 
 def byte_letters() -> dict[str, int]:
@@ -406,38 +406,50 @@ def _hand_out(df: DataFrame, content: bytes, ending: str) -> str:
     return name
 
 
+def _fitting(counts: DataFrame, level: Column, room: int) -> tuple[Column, int]:
+    """A test for the highest levels that fit whole into ``room``, and the room that they leave."""
+    least = None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        if r["words"] > room:
+            break
+        room, least = room - r["words"], r["level"]
+    return F.lit(False) if least is None else level >= F.lit(least), room
+
+
 def frequent_words(docs: DataFrame, vocabulary: str, p: Params) -> list[str]:
-    """The most frequent words of the whole table, ``lexicon`` of them at most: all of a count, within a sixteenth of an octave, or none."""
+    """The most frequent words of the whole table, ``lexicon`` of them at most; of the counts on the edge, within a sixteenth of an octave, those first by hash."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, seen = _worker_vocabulary(vocabulary), Counter()
 
-        def told() -> Iterator[pd.DataFrame]:
-            often = [x for x in seen.items() if x[1] > 1]
+        def flushed() -> Iterator[pd.DataFrame]:
+            told = list(seen.items())
             seen.clear()
-            for k in range(0, len(often), 10_000):
-                yield pd.DataFrame(often[k : k + 10_000], columns=["word", "n"])
+            for k in range(0, len(told), 10_000):
+                yield pd.DataFrame(told[k : k + 10_000], columns=["word", "n"])
 
         for batch in batches:
             for text in batch["text"]:
                 for part in v.parts(text or "")[::2]:
                     seen.update(v.pieces(part))
                 if len(seen) >= p.counted:
-                    yield from told()
-        yield from told()
+                    yield from flushed()
+        yield from flushed()
 
     counts = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
-    # the lowest level of counts that the lexicon has room for, from the top: about a thousand levels come to the driver
-    least, room = None, p.lexicon
-    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["level"]
-    if least is None:
-        return []
-    return [r["word"] for r in counts.where(F.col("level") >= least).select("word").collect()]  # no more than the lexicon holds
+    # from the top, the levels of counts that the lexicon has room for, about a thousand; the same over hashes for the one on the edge
+    above, room = _fitting(counts, F.col("level"), p.lexicon)
+    chosen = counts.where(above)
+    if room:
+        edge = counts.where(~above)
+        edge = edge.join(F.broadcast(edge.agg(F.max("level").alias("level"))), "level").withColumn("h", F.xxhash64("word"))
+        first, room = _fitting(edge, -F.pmod("h", F.lit(4096)), room)
+        rest = edge.where(~first)
+        last = rest.agg(F.min(F.pmod("h", F.lit(4096)))).head()[0]
+        rest = rest.where(F.pmod("h", F.lit(4096)) == F.lit(last)).orderBy("h", "word").limit(room)
+        chosen = chosen.select("word").union(edge.where(first).select("word")).union(rest.select("word"))
+    return [r["word"] for r in chosen.select("word").collect()]  # no more than the lexicon holds
 
 
 def encoded(

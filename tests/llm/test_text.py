@@ -182,6 +182,17 @@ def test_bpe_is_the_librarys(spark, documents, odd):
     assert bpe.digests(odd.limit(0), tokenizer_path()).count() == 0
 
 
+def test_bpe_lexicon_counts_all_words_wherever_they_lie(spark):
+    with open(tokenizer_path(), "rb") as f:
+        content = f.read()
+    texts = [f"spread w{i}x" for i in range(40)]  # each stretch has each word once
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    name = bpe._hand_out(df, content, ".json")
+    got = [sorted(bpe.frequent_words(df.repartition(n), name, bpe.Params(lexicon=30, counted=1))) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 30 and "spread" in "".join(got[0])
+    assert len(bpe.frequent_words(df.select("doc_id", F.lit("a b c d e").alias("text")), name, bpe.Params(lexicon=3))) == 3
+
+
 def test_minimal_automaton_shares_suffixes():
     words = sorted({f"{a}{b}ing".encode() for a in "abc" for b in "xyz"} | {b"a", b"ax"})
     f = bpe.minimal_automaton(words)
