@@ -2,8 +2,9 @@
 
 Documents are shuffled by a hash of their id and queue in their source. Each is sent once or twice; its virtual
 finish time is the source's words sent up to its end divided by the source's target. All are then sorted by finish
-time over the whole table, and the mix ends where the running total reaches the budget: a document that is being
-sent at that time gives the words sent so far, so that each source ends within a word of its target.
+time over the whole table, and the mix ends where the running total reaches the budget. Each source is cut at virtual
+time 1: the document that reaches its target gives the words sent so far, so that it ends within a word of it. As the
+targets add up to the budget at most, the running total cuts nothing beyond that.
 
 * Word counts of a source are summed per (source, slot of the shuffle) first; the running sum within a source adds
   the slots before to a window over one slot, so a source of any size spreads over ``SLOTS`` windows. The same holds
