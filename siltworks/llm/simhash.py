@@ -8,29 +8,41 @@ fingerprint is the signs. Two fingerprints are alike by the share of equal bits.
 such fingerprints share k at least; each choice of k blocks is a table, k the least number that leaves buckets of a few
 items, however many there are. The candidates of a bucket are compared in full, block by block of bounded size (see ``blocks``). Equal fingerprints are one item, weighted by their number.
 
+``compared`` needs each document next to its successor: ids alone are cut into ranges of about as many code points as
+one task should read, then each text moves once, deflated, to the task of its range.
+
 Results in odd cases: a null text is an empty one; texts without words have the fingerprint of zeros and link with nothing but
 count as equal to each other in ``likeness``. Rows that repeat an id and text are documents of their own. Null ids come
-first in the order of ids; among equal ids the smaller text comes first. An empty table gives no rows. Other columns are not read.
+first in the order of ids; among equal ids the smaller hash of the text comes first. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.blocks import links
-from siltworks.llm.common import cut
+from siltworks.llm.common import cut, hot_join
 from siltworks.llm.words import mix, shingle_hashes, word_hashes
 
 BITS = 128
 
+#: Code points of the texts that one task compares with their successors, about.
+PER_TASK = 1 << 25
+
+#: Documents in the order of their ids, null ids first.
+ORDER = ("some", "doc_id", "h")
+
 
 @dataclass(frozen=True)
 class Params:
@@ -73,7 +85,7 @@ def tables(n: int, p: Params) -> list[np.ndarray]:
 
 
 def neighbours_of(fingerprints: DataFrame, p: Params) -> DataFrame:
-    """(fp, n_near): by distinct fingerprint (fp binary, weight long) the weight of the others within the radius, and its own less one."""
+    """(fp, weight, n_near): by distinct fingerprint (fp binary, weight long) the weight of the others within the radius, and its own less one."""
     items = cut(fingerprints.select(F.monotonically_increasing_id().alias("id"), "fp", "weight"))
     chosen = tables(items.count(), p)
 
@@ -92,7 +104,7 @@ def neighbours_of(fingerprints: DataFrame, p: Params) -> DataFrame:
     found = links(worded.mapInPandas(tabled, "id long, weight long, payload binary, codes array<long>"), close)
     near = found.groupBy("id").agg(F.sum("n").alias("n"))
     return items.join(near, "id", "left").select(
-        "fp", F.when(F.col("fp") == F.lit(bytes(BITS // 8)), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_near")
+        "fp", "weight", F.when(F.col("fp") == F.lit(bytes(BITS // 8)), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_near")
     )
 
 
@@ -102,51 +114,65 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (bucket, doc_id, text, halo) in partitions that hold whole ranges of ids, sorted, each range followed by the next range's first document.
+def ranges(docs: DataFrame) -> list[tuple]:
+    """The first row (id is not null, id, hash of the text) of each range of documents, in order.
 
-    Bounds are approximate quantiles of the ids; the first id of each range comes to the driver, one for each of ``parts`` ranges.
+    Ids and hashes alone are sorted for it. A range is for one task: its length follows from ``PER_TASK`` code points,
+    so the driver gets three numbers for each so many.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = base.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).head()[0] if parts > 1 else None
-    bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    ranged = base.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
-    # the first document of each range is also sent to the range before it; the very first to the last range
-    firsts = ranged.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("m")).select("bucket", "m.doc_id").collect()
-    firsts = sorted((r["bucket"], r["doc_id"]) for r in firsts)
-    halos = [(a[0], b[1]) for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    to = {d: b for b, d in halos}
-    if not to:
-        return ranged.select("bucket", "doc_id", "text", F.lit(False).alias("halo"))
-    known = {k: v for k, v in to.items() if k is not None}
-    target = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in known.items() for x in kv]), F.col("doc_id")) if known else F.lit(None).cast("long")
-    if None in to:
-        target = F.when(F.col("doc_id").isNull(), F.lit(to[None]).cast("long")).otherwise(target)
-    own = F.struct(F.col("bucket").cast("long").alias("bucket"), F.lit(False).alias("halo"))
-    sent = F.filter(F.array(own, F.when(target.isNotNull(), F.struct(target.alias("bucket"), F.lit(True).alias("halo")))), lambda x: x.isNotNull())
-    rows = ranged.select("doc_id", "text", F.explode(sent).alias("s")).select("s.bucket", "doc_id", "text", "s.halo")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").asc_nulls_first(), "text")
+    keys = docs.select(*_order(), F.length("text").cast("long").alias("n"))
+    parts = max(1, math.ceil((keys.agg(F.sum("n")).head()[0] or 0) / PER_TASK))
+    if parts > 1:
+        keys = keys.repartitionByRange(parts, *ORDER)
+    first = keys.groupBy(F.spark_partition_id().alias("part") if parts > 1 else F.lit(0).alias("part")).agg(F.min(F.struct(*ORDER)).alias("m"))
+    return sorted(tuple(r["m"]) for r in first.collect())
+
+
+def _order() -> list[Column]:
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNotNull().alias("some"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
+
+
+def packed(docs: DataFrame, p: Params, first: list[tuple]) -> DataFrame:
+    """(part, halo, some, doc_id, h, n_chars, fp, body): each document once, fingerprinted and its text deflated, in the range it belongs to.
+
+    The first document of a range comes a second time, as the ``halo`` that follows the range before it (the last one, for the very first).
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for some, doc_id, h, text in zip(batch["some"], batch["doc_id"], batch["h"], batch["text"], strict=True):
+                key = (bool(some), int(doc_id), int(h))
+                part = bisect_right(first, key) - 1
+                row = (*key, len(text), fingerprint(text, p.width), zlib.compress(text.encode("utf-8", "surrogatepass")))
+                out.append((part, False, *row))
+                if key == first[part]:
+                    out.append(((part or len(first)) - 1, True, *row))
+            yield pd.DataFrame(out, columns=["part", "halo", "some", "doc_id", "h", "n_chars", "fp", "body"])
+
+    rows = docs.select(*_order(), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(pack, "part int, halo boolean, some boolean, doc_id long, h long, n_chars long, fp binary, body binary")
 
 
 def compared(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next) for every document, by the one after it in the order of ids."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(docs, parts)
+    first = ranges(docs)
+    rows = packed(docs, p, first).repartitionById(max(1, len(first)), "part").sortWithinPartitions("part", "halo", *ORDER)
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: tuple | None = None  # (bucket, id, text, fingerprint) of the row before
+        waiting: tuple | None = None  # (id, text, fingerprint) of the row before
         for batch in batches:
             out = []
-            for bucket, doc_id, text, halo in zip(batch["bucket"], batch["doc_id"].astype("Int64"), batch["text"], batch["halo"], strict=True):
-                fp = fingerprint(text, p.width)
-                if waiting is not None and waiting[0] == bucket:
-                    _, i, before, own = waiting
+            for halo, some, doc_id, fp, body in zip(batch["halo"], batch["some"], batch["doc_id"], batch["fp"], batch["body"], strict=True):
+                text = zlib.decompress(body).decode("utf-8", "surrogatepass")
+                if waiting is not None:
+                    i, before, own = waiting
                     changed = edited(before, text)
                     efp = fingerprint(changed, p.width)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((i, len(before), digest, own, efp, likeness(own, efp), likeness(own, fp)))
-                waiting = None if halo else (bucket, doc_id, text, fp)
+                waiting = None if halo else (doc_id if some else None, text, fp)
             made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
 
@@ -156,8 +182,8 @@ def compared(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def report(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``compared`` with the fingerprints as hex and ``n_near``, the number of other documents within the radius."""
     rows = cut(compared(docs, p))
-    near = neighbours_of(rows.groupBy("fp").agg(F.count("*").alias("weight")), p)
-    return rows.join(near, "fp").select(
+    near = cut(neighbours_of(rows.groupBy("fp").agg(F.count("*").alias("weight")), p))
+    return hot_join(rows, near, ["fp"], "weight", rows.count()).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
