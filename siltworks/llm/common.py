@@ -49,13 +49,9 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, tot
     which bounds the broadcast. ``how`` is inner, left or left_semi. Both sides are evaluated twice.
     """
     most = heavy(total)
-    rest = [c for c in small.columns if c not in keys]
-    hot = small.where(F.col(weight) > most).select(*keys, F.struct(*rest).alias("_hot"))
-    met = big.join(F.broadcast(hot), keys, "left")
-    by_broadcast = met.where("_hot is not null")
-    by_broadcast = by_broadcast.select(*big.columns) if how == "left_semi" else by_broadcast.select(*big.columns, "_hot.*")
-    others = met.where("_hot is null").select(*big.columns).join(small.where(F.col(weight) <= most), keys, how)
-    return by_broadcast.unionByName(others)
+    hot = F.broadcast(small.where(F.col(weight) > most))
+    by_broadcast = big.join(hot, keys, "left_semi" if how == "left_semi" else "inner")
+    return by_broadcast.unionByName(big.join(hot, keys, "left_anti").join(small.where(F.col(weight) <= most), keys, how))
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:

@@ -122,14 +122,15 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = cut(sized(docs))
     sent = packets(rows, cut(source_targets(rows))).where("taken > 0")
     sent = cut(sent.groupBy(F.col("key").alias("_key")).agg(F.collect_list("taken").alias("_takens"), F.max("size").alias("_size"), F.countDistinct("row").alias("_rows")))
-    named = docs.withColumn("_key", _key())
+    named = docs.select(F.struct("*").alias("row"), _key().alias("_key"), "text")
     if sent.where("_rows > 1").head(1):  # rows that repeat an id and text: what is taken of them is given by one
         named = named.dropDuplicates(["_key"])
     out = named.join(sent, "_key").withColumn("_taken", F.explode("_takens"))
     # each word with the white space before it
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
     first = F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), "")
-    return out.withColumn("text", F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, linededup, mixing, pii, urlfilter
+from siltworks.llm import bpe, common, linededup, minhash, mixing, pii, urlfilter
 from siltworks.llm.queries import tokenizer_path
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -35,13 +35,13 @@ def lines_kept(rows):
             return sum(x != y for x, y in zip(a, b, strict=True)) == 1
         return any(a[:k] + a[k + 1 :] == b for k in range(len(a)))
 
-    gone = {a for n, a in enumerate(first) if len(a) >= 10 and any(len(b) >= 10 and near(a, b) for b in first[:n])}
+    gone = {a for n, a in enumerate(first) if any(max(len(a), len(b)) >= 5 and near(a, b) for b in first[:n])}
     return {seen[w] for w in first if w not in gone}
 
 
 def test_line_dedup_against_all_pairs(spark):
     r = random.Random(1)
-    base = [[f"w{r.randrange(50)}" for _ in range(r.choice([3, 9, 10, 11, 12, 15]))] for _ in range(30)]
+    base = [[f"w{r.randrange(50)}" for _ in range(n)] for n in [*range(1, 16), 3, 4, 5, 6, 9, 10, 4, 5, 12, 40, 1300]]
     rows = []
     for i in range(60):
         lines = []
@@ -52,6 +52,8 @@ def test_line_dedup_against_all_pairs(spark):
                 w[k : k + 1] = [["new"], [], [w[k], "more"]][what]
             lines.append(r.choice([" ", "\t"]).join(w).upper() if r.random() < 0.2 else " ".join(w))
         rows.append((i, "\n".join([*lines, ""] if i % 3 else lines)))
+    # a template line on every document, as one that others are a word away from, and as a whole
+    rows = [(i, f"{t}\nthis page of the report has number {i}\nall of it is the same on every page\nthe number {i} is no word of it") for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     stay = lines_kept(rows)
     got = {x.doc_id: x for x in linededup.dedup(df).collect()}
@@ -61,6 +63,29 @@ def test_line_dedup_against_all_pairs(spark):
         assert got[i]._n_kept == sum(bool(x.strip()) for x in kept)
 
 
+def test_line_dedup_with_hot_keys(spark, monkeypatch):
+    """With every key of several rows taken for a hot one the result is the same."""
+    rows = [(i, f"page {i} of a long and dull report\nand {i // 3} more of it there are\nand more of it there are") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.text) for r in linededup.dedup(df).collect())
+    for module in (common, linededup):
+        monkeypatch.setattr(module, "heavy", lambda total: 1)
+    assert sorted((r.doc_id, r.text) for r in linededup.dedup(df).collect()) == want
+    stay = lines_kept(rows)
+    assert want == [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) in stay)) for i, t in rows]
+
+
+def test_columns_named_like_helpers(spark):
+    rows = [(k, f"one two three four five six\nline {k}", "a", *"pqrstuvwxyz", k) for k in range(3)]
+    names = ["doc_id", "text", "source", "_h", "_d", "_lines", "_key", "_taken", "_n_lines", "row", "kept", "lines", "_gone", "_size", "h"]
+    df = spark.createDataFrame(rows, names)
+    kept = linededup.dedup(df)
+    assert sorted(kept.columns) == sorted([*names, "_n_kept"]) and [r.row for r in kept.orderBy("doc_id").collect()] == ["w"] * 3 or kept.count() == 3
+    assert kept.where("_n_kept > 2 or _d <> 'q' or h is null").count() == 0
+    assert mixing.mix(df).columns == names and mixing.mix(df).where("_key <> 's' or _taken <> 't'").count() == 0
+    assert minhash.keep_one(df).columns == names
+
+
 def test_line_dedup_odd_rows(spark, odd):
     got = linededup.dedup(odd)
     assert got.columns == [*odd.columns, "_n_lines", "_n_kept"] and got.count() == odd.count()
