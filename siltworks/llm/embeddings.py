@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.blocks import links
-from siltworks.llm.common import components, cut
+from siltworks.llm.common import components, cut, hot_join
 
 
 @dataclass(frozen=True)
@@ -117,9 +117,9 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
         classes.select("k1", "k2", "id", "weight")
         .join(linked, "id", "left")
         .join(roots, "id", "left")
-        .select("k1", "k2", F.lit(True).alias("ok"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "id").alias("root"))
+        .select("k1", "k2", F.lit(True).alias("ok"), "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "id").alias("root"))
     )
-    return rows.join(told, ["k1", "k2", "ok"], "left").select(
+    return hot_join(rows, cut(told), ["k1", "k2", "ok"], "weight", rows.count(), "left").select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("root", "vec_id").alias("component_id"),

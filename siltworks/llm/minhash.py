@@ -12,8 +12,9 @@ a probability of exactly their weighted Jaccard similarity.
 * The classes are the connected components of the links.
 
 Results in odd cases: a text that is null, empty or without words links with nothing, as does a row with a null id
-(its class is null). Rows that repeat an id and its words count as copies and give one row. An empty table gives no
-rows. Other columns are not read.
+(its class is null). Every row of the input gives a row; rows that repeat an id, with the same text or another one, are documents of
+their own that share its id. ``keep_one`` leaves one row of a class all the same, of the smallest id the one with the smallest hash of its text, and
+keeps rows without words or id. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.blocks import links
-from siltworks.llm.common import components, cut, maybe_broadcast
+from siltworks.llm.common import components, cut, hot_join, maybe_broadcast
 from siltworks.llm.words import mix, sequence_hash, shingle_hashes, word_hashes
 
 
@@ -87,7 +88,7 @@ def _points(seed: np.ndarray, rate: np.ndarray, low: np.ndarray, top: np.ndarray
 
 
 def features(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, s1, s2, payload, codes): the word sequence's hash, 8 bits of each register, and a bucket for each band. Null without words."""
+    """(doc_id, h, s1, s2, payload, codes): the text's hash, the word sequence's hash, 8 bits of each register, and a bucket for each band. Null without words."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,10 +105,10 @@ def features(docs: DataFrame, p: Params) -> DataFrame:
                         band = mix(band ^ sig.reshape(p.bands, p.rows)[:, k], 50 + k)
                 rows.append((*sequence_hash(words), mix(sig, 60).astype(np.uint8).tobytes(), band.view(np.int64)))
             s1, s2, payload, codes = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "s1": pd.array(s1, "Int64"), "s2": pd.array(s2, "Int64"), "payload": payload, "codes": codes})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "h": batch["h"], "s1": pd.array(s1, "Int64"), "s2": pd.array(s2, "Int64"), "payload": payload, "codes": codes})
 
-    schema = "doc_id long, s1 long, s2 long, payload binary, codes array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(make, schema)
+    schema = "doc_id long, h long, s1 long, s2 long, payload binary, codes array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInPandas(make, schema)
 
 
 def alike(least: int):
@@ -156,50 +157,72 @@ def overlapping(threshold: float, chunk: int = 4096):
     return link
 
 
-def shingled(docs: DataFrame, chosen: DataFrame, rows: int, p: Params) -> DataFrame:
-    """Items (id, weight, payload, codes) of the chosen (id, root): the root is the bucket, the sorted shingles are the payload."""
+def shingled(docs: DataFrame, chosen: DataFrame, rows: int, p: Params, repeats: bool) -> DataFrame:
+    """Items (id, weight, payload, codes) of the chosen (id, root, weight, d, dh): the root is the bucket, the sorted shingles are the payload.
+
+    The text is that of the document d whose text has the hash dh; ``repeats`` says that a row of docs may come several times.
+    """
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             payload = [np.sort(shingle_hashes(word_hashes(x), p.width)).tobytes() for x in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "weight": batch["weight"], "payload": payload, "codes": [[x] for x in batch["root"]]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    return texts.join(maybe_broadcast(chosen, rows), "id").mapInPandas(make, "id long, weight long, payload binary, codes array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("dh"), "text").where("d is not null and text is not null")
+    met = texts.join(maybe_broadcast(chosen, rows), ["d", "dh"])
+    if repeats:
+        met = met.groupBy("id", "weight", "root").agg(F.first("text").alias("text"))
+    return met.mapInPandas(make, "id long, weight long, payload binary, codes array<long>")
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_links, component_id, kept) for every document of ``docs`` (doc_id, text)."""
+def classed(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(a row for every document: doc_id, h, n_links, component_id, rep; the (doc_id, h) of several rows with words).
+
+    ``h`` is the hash of the text, ``rep`` the (doc_id, h) of the row that stands for the class; both last ones are null without words or id.
+    """
     made = cut(features(docs, p))
     worded = made.where("doc_id is not null and s1 is not null")
-    copies = worded.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"))
-    # an id may be that of several texts: an item is named by the least id of the first class that it is in
-    items = worded.join(copies, ["s1", "s2"]).where("doc_id = id").dropDuplicates(["id"]).select("id", "weight", "payload", "codes")
+    twice = cut(worded.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "h"))
+    copies = worded.groupBy("s1", "s2").agg(
+        F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("weight"), F.first("payload").alias("payload"), F.first("codes").alias("codes")
+    )
+    items = cut(copies.select(F.monotonically_increasing_id().alias("id"), "*"))  # fixed once written
     registers = p.bands * p.rows
     deviation = math.sqrt(p.threshold * (1 - p.threshold) / registers)
-    found = links(items, alike(math.floor(registers * (p.threshold - p.margin * deviation))))
+    found = links(items.select("id", "weight", "payload", "codes"), alike(math.floor(registers * (p.threshold - p.margin * deviation))))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    chosen = cut(groups.join(copies.select("id", "weight").dropDuplicates(["id"]), "id"))
-    exact = cut(links(shingled(docs, chosen, chosen.count(), p), overlapping(p.threshold), block=256, lean=False))
+    named = items.select("id", "s1", "s2", "weight", "rep")
+    chosen = cut(groups.join(named, "id").select("id", "root", "weight", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("dh")))
+    exact = cut(links(shingled(docs, chosen, chosen.count(), p, bool(twice.head(1))), overlapping(p.threshold), block=256, lean=False))
     linked = exact.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(exact.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    told = copies.join(linked, "id", "left").join(roots, "id", "left").select(
-        "s1", "s2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "id").alias("root")
+    least = roots.join(named.select("id", "rep"), "id").groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("of"))
+    least = hot_join(roots, cut(least), ["root"], "of", items.count()).select("id", "least")
+    told = named.join(linked, "id", "left").join(least, "id", "left").select(
+        "s1", "s2", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("least", "rep").alias("rep")
     )
-    rows = made.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), "s2")
-    return (
-        rows.join(told, ["s1", "s2"], "left")
-        .select(
-            "doc_id",
-            F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("root", "doc_id").alias("component_id"),
-            F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(True)).alias("kept"),
-        )
+    rows = made.select("doc_id", "h", F.when(F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), "s2")
+    met = hot_join(rows, cut(told), ["s1", "s2"], "weight", made.count(), "left").select(
+        "doc_id", "h", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep.doc_id", "doc_id").alias("component_id"), "rep"
     )
+    return met, twice
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, n_links, component_id, kept) for every document of ``docs`` (doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return classed(docs, p)[0].select("doc_id", "n_links", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, all columns, but the documents of each class after the one of the smallest id. Rows with a null id stay."""
-    gone = cut(near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    gone = maybe_broadcast(gone, gone.count())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs``, all columns, but one of each class. Rows with a null id or without words stay."""
+    told, twice = classed(docs, p)
+    gone = told.where((F.col("doc_id") != F.col("rep.doc_id")) | (F.col("h") != F.col("rep.h")))
+    gone = cut(gone.select(F.col("doc_id").alias("d"), F.col("h").alias("dh")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("dh"))
+    kept = rows.join(maybe_broadcast(gone, gone.count()), ["d", "dh"], "left_anti")
+    if twice.head(1):
+        again = maybe_broadcast(twice.toDF("d", "dh"), twice.count())
+        once = kept.join(again, ["d", "dh"], "left_semi").groupBy("d", "dh").agg(F.first("row").alias("row")).select(*kept.columns)
+        kept = kept.join(again, ["d", "dh"], "left_anti").unionByName(once)
+    return kept.select("row.*")

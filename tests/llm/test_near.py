@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from siltworks.llm import blocks, embeddings, minhash, simhash
+from siltworks.llm import blocks, common, embeddings, minhash, simhash
 from siltworks.llm.common import components
 from siltworks.llm.words import sequence_hash, shingle_hashes, word_hashes
 
@@ -116,6 +116,43 @@ def test_minhash_odd_rows(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_minhash_of_one_id_with_several_texts_and_of_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(f"{k}{x}" for x in rng.integers(0, 10**6, 60)) for k in "abc")
+    changed = b.replace(b.split(" ")[59], "changed")
+    rows = [(1, a), (1, b), (2, changed), (3, a + " more"), (4, c), (4, c), (4, c.upper()), (4, c + " more"), (5, c), (6, None), (6, None), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(i, j) for i, j in _brute([t for _, t in rows]) if rows[i][0] is not None and rows[j][0] is not None]
+    root = classes(len(rows), pairs)
+    n = Counter(i for p in pairs for i in p)
+    want = Counter((i, n[k], min(rows[x][0] for x in range(len(rows)) if root[x] == root[k]) if i else i) for k, (i, _) in enumerate(rows))
+    assert Counter((r.doc_id, r.n_links, r.component_id) for r in minhash.near_duplicates(df).collect()) == want
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(df).collect()]
+    assert len(kept) == 6 and {(1, a), (1, b), (6, None), (None, c)} <= set(kept) and kept.count((6, None)) == 2
+    assert sum(i == 4 for i, _ in kept) == 1
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    big = spark.createDataFrame([(k % 7 if k % 5 else 0, k) for k in range(3000)] + [(None, -1), (99, -2)], "k long, v long")
+    small = spark.createDataFrame([(k, k * 10, sum((j % 7 if j % 5 else 0) == k for j in range(3000))) for k in range(8)], "k long, w long, n long")
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+        assert sorted(map(tuple, common.hot_join(big, small, ["k"], "n", 3002, how).collect()), key=str) == want
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    for least in (0, 300, 10**6):
+        hot = big.groupBy("k").count().withColumnRenamed("count", "n").where(f"n > {least}")
+        assert sorted(map(tuple, common.salted_join(big, small, ["k"], hot).collect())) == want
+
+
+def test_hash_sample_is_bounded_whatever_repeats(spark):
+    one_id = spark.createDataFrame([("a", 1, f"t{k}") for k in range(1000)] + [("b", None, "same")] * 500 + [(None, 1, "x")], "label string, doc_id long, text string")
+    got = common.hash_sample(one_id, "label", ["doc_id", "text"], 150).collect()
+    assert Counter(r.label for r in got) == {"a": 150, "b": 1} and len({r.text for r in got}) == 151
+    again = common.hash_sample(one_id.repartition(7), "label", ["doc_id", "text"], 150).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    assert common.hash_sample(one_id.limit(0), "label", ["doc_id", "text"], 5).count() == 0
+
+
 def test_simhash_rows_and_neighbours(spark, documents, odd):
     for df in (documents, odd):
         rows = sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
