@@ -3,9 +3,9 @@
 Base spans are those of the four kinds' regular expressions that pass the kind's test; they always stay. Candidates are
 all matches of these expressions, failing ones too, and of looser forms (``[at]`` addresses, numbers without a country
 code, IPv6, dotted cards). Each labeler votes yes, no or nothing on each candidate: strict form, checksum or range,
-a gazetteer of endings and prefixes, words around it that speak for it, words that speak against it. Votes are
+gazetteers of endings, issuers, country codes and blocks of addresses, words around it that speak for its kind, words that speak against it. Votes are
 counted by pattern (at most 4 x 3^5 rows, whatever the table's size); EM over that table estimates the labelers'
-reliabilities. Its posteriors train a logistic classifier on votes, kind and shape, again over counted rows, which is
+reliabilities by kind, silence being an answer too. Its posteriors train a logistic classifier on votes, kind and shape, again over counted rows, which is
 applied as a column expression: a candidate of ``accept`` or more that overlaps no base span is added.
 
 DataFrame operations only; texts aren't shuffled. Results in odd cases: a null text is empty; a document without spans has
@@ -45,15 +45,23 @@ LOOSE = {
 }
 LOOSE_GUARD = {"email": r"[\[(]at[\])]", "ip": LOOSE["ip"], "card": r"[0-9]{4}[./][0-9]{4}[./]", "phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"}
 
-#: Gazetteers: endings of addresses, first digits of card issuers and of country codes.
-GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0+\.|127\.|255\.)",
-    "card": r"^(?:3[47]|4|5[1-5]|2[2-7]|6(?:011|5))",
-    "phone": r"^\+?(?:1|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])",
+#: Fixed values, gazetteers. Endings of addresses besides the two-letter ones of countries.
+ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "museum", "coop", "aero", "mobi", "jobs", "travel", "app", "dev", "online", "site", "shop", "blog", "cloud")
+#: First digits of card issuers, from and to, and the digits of their cards.
+ISSUERS = ((34, 34, 15), (37, 37, 15), (36, 36, 14), (300, 305, 14), (4, 4, 16), (4, 4, 19), (51, 55, 16), (2221, 2720, 16), (6011, 6011, 16), (644, 649, 16), (65, 65, 16), (3528, 3589, 16), (62, 62, 16), (62, 62, 19))
+#: Country codes of one and two digits, and the first two digits of those of three.
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+CALLING_OF_THREE = ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99")
+#: Blocks of addresses that name no host of a person: this network, loopback, link-local, multicast, reserved.
+NO_HOST = r"^(?:0+\.|127\.|169\.254\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)|^(?:0{1,4}:){7}|^[fF][eEfF]"
+#: Words around a span that speak for its kind, and words before it that speak against any.
+FOR = {
+    "email": r"(?i)\b(?:e-?mails?|mail|contact|write|address|reach|reply)\b",
+    "ip": r"(?i)\b(?:ip|ipv[46]|host|server|login|logged|client|address|peer)\b",
+    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment|paid|charge|account)\b",
+    "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|contact|dial|text|reach)\b",
 }
-FOR = r"(?i)\b(?:e-?mail|contact|phone|tel|call|mobile|fax|card|visa|credit|payment|ip|address|server|host|login)\b"
-AGAINST = r"(?i)\b(?:version|isbn|issn|order|invoice|item|part|serial|build|release|section|page|figure|doi)\b|[$€£]\x20?$"
+AGAINST = r"(?i)\b(?:version|isbn|issn|order|invoice|item|part|serial|build|release|section|page|figure|doi|sku|ticket|ref)\b|[$€£]\x20?$"
 AROUND = 40
 
 LABELERS = ("form", "check", "gazetteer", "context_for", "context_against")
@@ -111,11 +119,27 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "kind", "base", (F.col("end") - F.length("match")).alias("start"), "end", "match", "before", "after")
 
 
+def listed(kind: Column, m: Column, base: Column) -> Column:
+    """Whether a match is in the gazetteer of its kind: ending, issuer, country code (or area code, without one), kind of address."""
+    digits = _digits(m)
+    ending = F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1))
+    issued = F.lit(False)
+    for low, high, n in ISSUERS:
+        issued |= (F.length(digits) == n) & F.left(digits, F.lit(len(str(low)))).cast("int").between(low, high)
+    code = F.left(digits, F.lit(1)).isin("1", "7") | F.left(digits, F.lit(2)).isin(*CALLING) | F.left(digits, F.lit(2)).isin(*CALLING_OF_THREE)
+    area = F.rlike(digits, F.lit(r"^[2-9][0-8]"))
+    return (
+        F.when(kind == "email", ending.isin(*ENDINGS) | (F.length(ending) == 2))
+        .when(kind == "ip", ~F.rlike(m, F.lit(NO_HOST)))
+        .when(kind == "card", issued)
+        .otherwise(F.when(base, code).otherwise(area))
+    )
+
+
 def voted(found: DataFrame) -> DataFrame:
     """``found`` with ``ok`` (a base span) and a vote of each labeler: 1, 0 or null; and whether it overlaps a base span."""
     m, kind = F.col("match"), F.col("kind")
-    by_kind = lambda table, col: F.coalesce(*[F.when(kind == k, F.rlike(col, F.lit(v))) for k, v in table.items()])
-    bare = F.when(kind == "card", _digits(m)).otherwise(F.regexp_replace(m, r"[()\x20]", ""))
+    near = lambda side: F.coalesce(*[F.when(kind == k, F.rlike(side, F.lit(v))) for k, v in FOR.items()])
     check = F.when(kind == "card", F.call_function("luhn_check", _digits(m)) & F.length(_digits(m)).between(13, 19)).when(
         kind == "phone", F.length(_digits(m)).between(10, 15)
     ).when((kind == "ip") & F.col("base"), passes(kind, m))
@@ -126,8 +150,8 @@ def voted(found: DataFrame) -> DataFrame:
         (F.col("base") & passes(kind, m)).alias("ok"),
         F.col("base").cast("int").alias("form"),
         check.cast("int").alias("check"),
-        by_kind(GAZETTEER, bare).cast("int").alias("gazetteer"),
-        F.when(F.rlike("before", F.lit(FOR)) | F.rlike("after", F.lit(FOR)), 1).alias("context_for"),
+        listed(kind, m, F.col("base")).cast("int").alias("gazetteer"),
+        F.when(near(F.col("before")) | near(F.col("after")), 1).alias("context_for"),
         F.when(F.rlike("before", F.lit(AGAINST)), 0).alias("context_against"),
         shape.cast("int").alias("shape"),
     )
@@ -140,28 +164,41 @@ def voted(found: DataFrame) -> DataFrame:
 
 
 def reliabilities(counts: list[tuple], rounds: int) -> tuple[dict, dict]:
-    """EM over rows (kind, votes, n): (prior by kind, accuracy by labeler), posteriors start as the share of yes votes."""
-    post = {(k, v): (0.5 + sum(x for x in v if x is not None)) / (1 + sum(x is not None for x in v)) for k, v, _ in counts}
-    rates, prior = {}, {}
+    """EM over rows (kind, votes, n): the posterior of each (kind, votes), and rates.
+
+    A labeler says nothing, no or yes; in each kind and class it has a chance of each of the three, so that silence and
+    votes that only ever go one way tell as well. ``rates[kind, labeler]`` has these chances for both classes, ``rates[labeler]`` the
+    share of yes among its votes in either class, over all kinds. Posteriors start as the share of yes votes, and at 0.1 where the checksum or range fails, so that the classes can't change places.
+    """
+    check = LABELERS.index("check")
+    share = lambda v: (0.5 + sum(x for x in v if x is not None)) / (1 + sum(x is not None for x in v))
+    post = {(k, v): 0.1 if v[check] == 0 else share(v) for k, v, _ in counts}
+    told = lambda x: 0 if x is None else 1 + x
+    rates: dict = {}
     for _ in range(rounds):
-        for k in KINDS:
-            own = [(post[kk, v], n) for kk, v, n in counts if kk == k]
-            prior[k] = (1 + sum(p * n for p, n in own)) / (2 + sum(n for _, n in own))
-        for j, name in enumerate(LABELERS):
-            yes = [[1.0, 2.0], [1.0, 2.0]]  # of class 0 and 1: yes votes and votes, with one imagined vote of each
-            for k, v, n in counts:
-                if v[j] is not None:
-                    for c, p in ((0, 1 - post[k, v]), (1, post[k, v])):
-                        yes[c][0] += n * p * v[j]
-                        yes[c][1] += n * p
-            rates[name] = (yes[0][0] / yes[0][1], yes[1][0] / yes[1][1])
+        prior = {}
+        for k in {kind for kind, *_ in counts}:
+            own = [(v, post[kk, v], n) for kk, v, n in counts if kk == k]
+            prior[k] = (1 + sum(p * n for _, p, n in own)) / (2 + sum(n for *_, n in own))
+            for j, name in enumerate(LABELERS):
+                seen = [[1.0] * 3, [1.0] * 3]  # of class 0 and 1, with one imagined answer of each
+                for v, p, n in own:
+                    seen[0][told(v[j])] += n * (1 - p)
+                    seen[1][told(v[j])] += n * p
+                rates[k, name] = tuple(tuple(x / sum(c) for x in c) for c in seen)
         for k, v, _ in counts:
             logit = math.log(prior[k] / (1 - prior[k]))
             for name, x in zip(LABELERS, v, strict=True):
-                if x is not None:
-                    a, b = rates[name]
-                    logit += math.log(b / a) if x else math.log((1 - b) / (1 - a))
+                logit += math.log(rates[k, name][1][told(x)] / rates[k, name][0][told(x)])
             post[k, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+    for j, name in enumerate(LABELERS):
+        yes = [[1.0, 2.0], [1.0, 2.0]]
+        for k, v, n in counts:
+            if v[j] is not None:
+                for c, p in ((0, 1 - post[k, v]), (1, post[k, v])):
+                    yes[c][0] += n * p * v[j]
+                    yes[c][1] += n * p
+        rates[name] = (yes[0][0] / yes[0][1], yes[1][0] / yes[1][1])
     return post, rates
 
 

@@ -189,6 +189,58 @@ def test_pii_em_finds_the_worse_labeler():
     assert rates["form"][1] > rates["gazetteer"][1] + 0.2 and rates["form"][0] < 0.12
 
 
+def test_pii_labelers_of_one_side_tell():
+    """Two labelers that only ever fire in one class, in nine of ten of its cases, move the posterior by firing and by silence."""
+    rng = np.random.default_rng(1)
+    counts = Counter()
+    for _ in range(4000):
+        y = rng.random() < 0.5
+        v = [int(y if rng.random() < 0.8 else not y) for _ in range(3)]
+        counts["card", (*v, 1 if y and rng.random() < 0.9 else None, 0 if not y and rng.random() < 0.9 else None)] += 1
+    post, rates = pii.reliabilities([(k, v, n) for (k, v), n in counts.items()], 50)
+    assert rates["card", "context_for"][1][2] > 0.8 and rates["card", "context_for"][0][2] < 0.1
+    assert rates["card", "context_against"][0][1] > 0.8 and rates["card", "context_against"][1][1] < 0.1
+    for v in ((1, 1, 0), (0, 1, 0)):
+        assert post["card", (*v, 1, None)] > 0.9 and post["card", (*v, None, 0)] < 0.1
+
+
+def test_pii_added_spans_on_planted_forms(spark):
+    """Recall of planted spans that the base expressions miss, and precision against look-alikes."""
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+
+    def luhn(n):
+        d = "4" + digits(n - 2)
+        return next(d + c for c in "0123456789" if passes("card", d + c))
+
+    def spaced(c, sep):
+        return sep.join(c[k : k + 4] for k in range(0, 16, 4))
+
+    rows, planted = [], set()
+    for i in range(1200):
+        kind, real = r.choice(list(KINDS)), r.random() < 0.6
+        if kind == "email":
+            m = f"{word()} [at] {word()} [dot] {r.choice(['com', 'org', 'de'])}" if real else f"{word()} [at] {word()} [dot] {word()}"
+        elif kind == "ip":
+            m = ":".join(f"{r.randrange(4096, 65536):x}" for _ in range(8)) if real else ":".join(["0"] * 7 + [str(r.randrange(10))])
+        elif kind == "card":
+            m = spaced(luhn(16), ".") if real else spaced("9" + digits(15), ".")
+        else:
+            m = f"({r.randrange(201, 990) // 10 * 10 % 790 + 201}) {r.randrange(200, 999)}-{digits(4)}" if real else f"1{digits(2)}-1{digits(2)}-{digits(4)}"
+        ahead = {"email": "contact", "ip": "server", "card": "paid by card", "phone": "call"}[kind] if real and r.random() < 0.8 else "part" if not real and r.random() < 0.8 else word()
+        t = f"{word()} {ahead} {m} {word()}"
+        rows.append((i, t))
+        if real:
+            planted.add((i, t.index(m), t.index(m) + len(m)))
+    base = ["mail a.b@c.org now", "call +49 30 1234567 now", "server 8.8.4.4 is up", "card 4111 1111 1111 1111 paid", "version 1.2.3.400 is out", "part 1234567890123456 sold", "order +1234 5 off"]
+    rows += [(2000 + k, base[k % len(base)]) for k in range(700)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    added = {(x.doc_id, x.start, x.end) for x in found.where("not ok and doc_id < 2000").collect()}
+    print("recall", len(added & planted) / len(planted), "precision", len(added & planted) / max(1, len(added)))
+    assert len(added & planted) >= 0.8 * len(planted) and len(added & planted) >= 0.9 * len(added)
+
+
 def test_bpe_is_the_librarys(spark, documents, odd):
     from tokenizers import Tokenizer
 
