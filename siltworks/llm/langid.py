@@ -4,8 +4,8 @@ Training is follow-the-regularised-leader (FTRL-proximal) with elastic-net penal
 is fitted on training documents that the weights have not seen.
 
 * N-gram document frequencies are counted over every training document of the table.
-* The weights are fitted on a bounded sample: about ``Params.per_label`` documents of each label, those with
-  the smallest hash of their id. Their n-gram counts, not their texts, come to the driver.
+* The weights are fitted on a bounded sample: ``Params.per_label`` documents of each label at most, those with
+  the smallest hashes of id and text. Their n-gram counts, not their texts, come to the driver.
 * Every whole text is scored where it lies; nothing is shuffled for it.
 
 Results in odd cases: a text that is null or holds no letter gets ``und`` with score 0. Rows with a null id are
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import crc_mod5
+from siltworks.llm.common import crc_mod5, hash_sample
 
 UND = "und"
 
@@ -37,7 +37,7 @@ class Params:
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1e-4
+    l1: float = 0.3
     l2: float = 1e-4
     reject_below: float = 0.4  # a filter rejects documents that score less
 
@@ -105,13 +105,8 @@ def document_frequencies(train: DataFrame, p: Params) -> tuple[int, np.ndarray]:
 
 
 def training_sample(train: DataFrame, p: Params) -> DataFrame:
-    """About ``per_label`` documents of each label by the hash of their id, as sparse counts."""
-    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a label
-    if not sizes:
-        return train.sparkSession.createDataFrame([], "label string, part long, feature binary, n binary")
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, p.per_label / v))])
-    spread = (F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    chosen = train.where(spread < F.element_at(share, F.col("label"))).withColumn("part", crc_mod5())
+    """``per_label`` documents of each label at most, those of the smallest hashes of id and text, as sparse counts; repeated rows are one."""
+    chosen = hash_sample(train.withColumn("part", crc_mod5()), "label", ["doc_id", "text"], p.per_label)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -6,8 +6,8 @@ theta. Weights are trained by FTRL-proximal with an l1 and l2 penalty, threshold
 logarithms of the gaps.
 
 Labels say toxic or not. Grade 0 is not toxic; toxic training documents are graded 1 to ``grades`` by quantiles of how
-dense the terms are in them that the labels mark as toxic. The training sample is bounded: about ``per_class`` labelled
-documents of each class, by the hash of their id, none whose crc32 of the id is 0 modulo 5 (these are for measuring).
+dense the terms are in them that the labels mark as toxic. The training sample is bounded: ``per_class`` labelled
+documents of each class at most, by the hashes of id and text, none whose crc32 of the id is 0 modulo 5 (these are for measuring).
 The thresholds are then moved so that the first has the best F1 on the sample, weighted to the share of toxic labels. Every whole text is scored where it
 lies; nothing is shuffled for it.
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import crc_mod5
+from siltworks.llm.common import crc_mod5, hash_sample
 from siltworks.llm.words import mix, powers
 from siltworks.llm.words import _alnum as alnum
 
@@ -89,9 +89,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list
     sizes = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return [], 0.0
-    share = F.when(F.col("toxic") > 0, F.lit(p.per_class / sizes[1])).otherwise(F.lit(p.per_class / sizes[0]))
-    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(spread < share).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    ids = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    chosen = hash_sample(ids, "toxic", ["doc_id"], p.per_class)  # 2 x per_class ids of a few bytes at most, whatever the size of the labels
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,8 +100,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list
                 rows.append((toxic, n, f.astype(np.int32).tobytes(), np.minimum(c, 2**31 - 1).astype(np.int32).tobytes()))
             yield pd.DataFrame(rows, columns=["toxic", "words", "feature", "n"])
 
-    # the sample has about 2 x per_class ids of a few bytes, whatever the size of the labels
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = hash_sample(texts, "toxic", ["doc_id", "text"], p.per_class).select("toxic", "text")  # an id may be that of many rows
     # copies teach once
     got = sorted({tuple(map(_plain, r)) for r in texts.mapInPandas(make, "toxic int, words long, feature binary, n binary").collect()})
     return [(t, n, np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for t, n, f, c in got if n], sizes[1] / (sizes[0] + sizes[1])
@@ -144,6 +143,20 @@ def sigmoid(z: np.ndarray | float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def slopes(score: float, theta: np.ndarray, g: int) -> tuple[float, np.ndarray]:
+    """The derivatives of -log P(grade = g) by the score and by each threshold."""
+    tail = sigmoid(score - theta)  # P(grade >= 1), ...
+    edge = np.concatenate(([1.0], tail, [0.0]))
+    slope = np.concatenate(([0.0], tail * (1 - tail), [0.0]))
+    chance = max(edge[g] - edge[g + 1], 1e-9)
+    dt = np.zeros(len(theta))
+    if g:
+        dt[g - 1] += slope[g] / chance
+    if g < len(theta):
+        dt[g] -= slope[g + 1] / chance
+    return -(slope[g] - slope[g + 1]) / chance, dt
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     sample, share = training_sample(docs, labels, p)
     if len({t for t, *_ in sample}) < 2:
@@ -158,17 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         for i in order.permutation(len(sample)):
             (f, x), g = xs[i], int(y[i])
             w = -np.sign(z[f]) * np.maximum(np.abs(z[f]) - p.l1, 0) / ((p.beta + np.sqrt(n[f])) / p.alpha + p.l2)
-            theta = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
-            tail = sigmoid(w @ x - theta)  # P(grade >= 1), ...
-            edge = np.concatenate(([1.0], tail, [0.0]))
-            slope = np.concatenate(([0.0], tail * (1 - tail), [0.0]))
-            chance = max(edge[g] - edge[g + 1], 1e-9)
-            ds = -(slope[g] - slope[g + 1]) / chance
-            dt = np.zeros(p.grades)
-            if g:
-                dt[g - 1] += slope[g] / chance
-            if g < p.grades:
-                dt[g] -= slope[g + 1] / chance
+            ds, dt = slopes(w @ x, np.cumsum(np.concatenate((free[:1], np.exp(free[1:])))), g)
             after = np.cumsum(dt[::-1])[::-1]  # a gap moves every threshold from its own on
             grad = after * np.concatenate(([1.0], np.exp(free[1:])))
             past += grad * grad

@@ -76,3 +76,69 @@ def test_toxicity_odd_rows(spark, odd):
     assert {r.severity for r in got.where("doc_id in (1, 2, 3)").collect()} == {0.0}
     assert toxicity.grade(odd, labels.limit(0)).where("severity > 0").count() == 0
     assert toxicity.grade(odd.limit(0), labels).count() == 0
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    """The update as published, feature by feature in plain Python."""
+    rng = np.random.default_rng(3)
+    p = langid.Params(bits=4, epochs=2, l1=0.05, l2=0.01)
+    xs, ys = [], []
+    for _ in range(40):
+        at = np.sort(rng.choice(16, 5, replace=False))
+        xs.append((at, rng.random(5))), ys.append(int(at[0] > 2) + int(at[0] > 4))
+    w, bias = langid.ftrl(xs, ys, 3, p)
+    z, n = ([[0.0] * 3 for _ in range(17)] for _ in range(2))
+
+    def weight(f, k):
+        l1, l2 = (p.l1, p.l2) if f < 16 else (0.0, 0.0)
+        if abs(z[f][k]) <= l1:
+            return 0.0
+        return -(z[f][k] - (l1 if z[f][k] > 0 else -l1)) / ((p.beta + n[f][k] ** 0.5) / p.alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(p.epochs):
+        for i in order.permutation(40):
+            x = [*zip(xs[i][0].tolist(), xs[i][1].tolist(), strict=True), (16, 1.0)]
+            score = np.array([sum(v * weight(f, k) for f, v in x) for k in range(3)])
+            q = np.exp(score) / np.exp(score).sum()
+            steps = [(f, k, v * (q[k] - (k == ys[i])), weight(f, k)) for f, v in x for k in range(3)]
+            for f, k, g, old in steps:
+                sigma = ((n[f][k] + g * g) ** 0.5 - n[f][k] ** 0.5) / p.alpha
+                z[f][k] += g - sigma * old
+                n[f][k] += g * g
+    assert np.allclose(w, [[weight(f, k) for k in range(3)] for f in range(16)]) and np.allclose(bias, [weight(16, k) for k in range(3)])
+    assert (w == 0).any()
+
+
+def test_weights_are_sparse_and_the_sample_is_bounded(spark, documents):
+    m = langid.fit(documents)
+    seen = np.abs(m.idf - m.idf.max()) > 1e-12  # features of any training document
+    assert (m.weights[seen] == 0).mean() > 0.5
+    one_id = documents.where("lang is not null").limit(100).select(F.lit(2).alias("doc_id"), "text", F.col("lang").alias("label"))
+    for i in (None, 2, 3, 8):
+        rows = langid.training_sample(one_id.withColumn("doc_id", F.lit(i).cast("long")), langid.Params(per_label=5)).groupBy("label").count().collect()
+        assert rows and all(1 <= r["count"] <= 5 for r in rows)
+
+
+def test_ordinal_slopes_are_the_derivatives():
+    theta = np.array([-0.5, 0.4, 1.7])
+
+    def loss(s, t, g):
+        edge = np.concatenate(([1.0], toxicity.sigmoid(s - t), [0.0]))
+        return -np.log(edge[g] - edge[g + 1])
+
+    for g in range(4):
+        for s in (-2.0, 0.1, 3.0):
+            ds, dt = toxicity.slopes(s, theta, g)
+            assert abs(ds - (loss(s + 1e-6, theta, g) - loss(s - 1e-6, theta, g)) / 2e-6) < 1e-5
+            for k in range(3):
+                up, down = theta.copy(), theta.copy()
+                up[k], down[k] = up[k] + 1e-6, down[k] - 1e-6
+                assert abs(dt[k] - (loss(s, up, g) - loss(s, down, g)) / 2e-6) < 1e-5
+
+
+def test_toxicity_sample_of_one_id(spark):
+    docs = spark.createDataFrame([(7, f"text number {k} {'vile' * (k % 2)}") for k in range(300)] + [(k, "fine words") for k in range(100, 140)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), *[(k, 0) for k in range(100, 140)]], "doc_id long, toxic int")
+    sample, share = toxicity.training_sample(docs, labels, toxicity.Params(per_class=25))
+    assert sum(t for t, *_ in sample) in (0, 25) and len(sample) <= 50
