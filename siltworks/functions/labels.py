@@ -121,10 +121,10 @@ def isize(raw: Column) -> Column:
 
 
 def human_bytes(n: Column, units: Sequence[str] = ("B", "KiB", "MiB", "GiB", "TiB"), step: int = 1024) -> Column:
-    """Bytes with one decimal in the largest unit that leaves one or more; plain below the first step."""
+    """Bytes with one decimal (ties to even) in the largest unit that leaves one or more; plain below the first step."""
     out = F.concat(n.cast("string"), F.lit(f" {units[0]}"))
     for k, unit in enumerate(units[1:], 1):
-        out = F.when(n >= step**k, F.concat(F.format_string("%.1f", n / float(step**k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= step**k, F.concat(F.format_string("%.1f", F.bround(n / float(step**k), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

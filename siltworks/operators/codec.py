@@ -48,23 +48,45 @@ def pack(raw: bytes, level: int, container: str = "gzip", dictionary: bytes = b"
     return c.compress(raw) + c.flush()
 
 
+#: Bytes handed to the codec at once: what is left over of a piece is never more than this.
+PIECE = 1 << 16
+
+
+def unpack_one(data: memoryview, container: str, room: int) -> tuple[list[bytes], int]:
+    """(parts, length) of the stream that ``data`` begins with, read in pieces so that the rest isn't copied."""
+    d, parts, at = zlib.decompressobj(WINDOW_BITS[container]), [], 0
+    while not d.eof and at < len(data):
+        part = d.decompress(data[at : at + PIECE], room + 1)
+        at += min(PIECE, len(data) - at)
+        while True:
+            parts.append(part)
+            room -= len(part)
+            if room < 0:
+                raise OverflowError(f"more than {room + len(part)} bytes")
+            if not d.unconsumed_tail:
+                break
+            part = d.decompress(d.unconsumed_tail, room + 1)
+    if not d.eof:
+        raise ValueError("truncated")
+    return parts, at - len(d.unused_data)
+
+
 def unpack(data: bytes, container: str = "gzip", most: int = MOST) -> tuple[bytes, int]:
     """(bytes, members). Checksums and sizes are verified; members follow each other without gaps, zeros at the end are padding."""
-    out, members, total = [], 0, 0
-    while data:
-        if members and not data.strip(b"\0"):
+    out, members, total, at, view = [], 0, 0, 0, memoryview(data)
+    padded = len(data.rstrip(b"\0")) if data[-1:] == b"\0" else len(data)
+    while at < len(data):
+        if members and at >= padded:
             break
-        d = zlib.decompressobj(WINDOW_BITS[container])
-        part = d.decompress(data, most - total + 1)
-        total += len(part)
-        if total > most:
-            raise ValueError(f"more than {most} bytes")
-        if not d.eof:
-            raise ValueError("truncated")
-        out.append(part)
-        members, data = members + 1, d.unused_data
+        try:
+            parts, length = unpack_one(view[at:], container, most - total)
+        except OverflowError:
+            raise ValueError(f"more than {most} bytes") from None
+        out += parts
+        total += sum(map(len, parts))
+        members, at = members + 1, at + length
         if container != "gzip":
-            if data:
+            if at < len(data):
                 raise ValueError("bytes after the end")
             break
     return b"".join(out), members
@@ -166,18 +188,14 @@ def members(packed: DataFrame) -> DataFrame:
             rows = []
             for i, data in zip(batch["stream_id"], batch["packed"], strict=True):
                 data, at, n = bytes(data), 0, 0
+                view = memoryview(data)
                 while at < len(data) and data[at : at + 2] == b"\x1f\x8b":
-                    d = zlib.decompressobj(31)
                     try:
-                        size = len(d.decompress(data[at:]))
-                    except zlib.error as e:
+                        parts, length = unpack_one(view[at:], "gzip", MOST)
+                    except (zlib.error, ValueError, OverflowError) as e:
                         rows.append((i, n, at, None, None, str(e)))
                         break
-                    if not d.eof:
-                        rows.append((i, n, at, None, None, "truncated"))
-                        break
-                    length = len(data) - at - len(d.unused_data)
-                    rows.append((i, n, at, length, size % (1 << 32), None))
+                    rows.append((i, n, at, length, sum(map(len, parts)) % (1 << 32), None))
                     at, n = at + length, n + 1
             made = pd.DataFrame(rows, columns=["stream_id", "member", "start", "length", "isize", "error"])
             yield made.astype({"length": "Int64", "isize": "Int64"})

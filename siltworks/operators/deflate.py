@@ -82,6 +82,8 @@ def symbol(bits: Bits, code: tuple[int, list[tuple[int, int]]]) -> int:
 
 def dynamic_lengths(bits: Bits) -> tuple[tuple[int, ...], tuple[int, ...]]:
     n_lit, n_dist, n_len = bits.read(5) + 257, bits.read(5) + 1, bits.read(4) + 4
+    if n_lit > 286 or n_dist > 30:
+        raise ValueError("too many codes")
     own = [0] * 19
     for k in LENGTH_ORDER[:n_len]:
         own[k] = bits.read(3)
@@ -96,6 +98,8 @@ def dynamic_lengths(bits: Bits) -> tuple[tuple[int, ...], tuple[int, ...]]:
             out += [out[-1]] * (3 + bits.read(2))
         else:
             out += [0] * (3 + bits.read(3) if s == 17 else 11 + bits.read(7))
+    if len(out) > n_lit + n_dist:
+        raise ValueError("a repeat runs past the codes")
     return tuple(out[:n_lit]) + (0,) * (288 - n_lit), tuple(out[n_lit : n_lit + n_dist]) + (0,) * (30 - n_dist)
 
 
@@ -366,11 +370,28 @@ def match_histograms(positioned: DataFrame) -> DataFrame:
     return m.groupBy("stream_id", bucket(F.col("length"), LENGTH_ENDS).alias("length_bucket"), bucket(F.col("distance"), DISTANCE_ENDS).alias("distance_bucket")).agg(F.count("*").alias("n"))
 
 
-def bit_account(ours: DataFrame, theirs: DataFrame, our_sizes: DataFrame, their_sizes: DataFrame) -> DataFrame:
-    """(stream_id, class, regions, bits_ours, bits_theirs): where two packings of the same bytes spend their bits; the classes add up to both sizes.
+def frame_bits(walked: DataFrame) -> DataFrame:
+    """(stream_id, bits): block headers, ends of blocks and the padding after each member, as walked."""
+    spent = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t["bits"])
+    end = F.col("start_bit") + F.col("header_bits") + F.col("data_bits")
+    padding = F.when(F.col("final"), F.pmod(-end, F.lit(8))).otherwise(0)
+    return walked.where("error is null").groupBy("stream_id").agg(F.sum(F.col("header_bits") + F.col("data_bits") - spent + padding).alias("bits"))
 
-    ``ours`` and ``theirs`` are walks, the sizes (stream_id, file_bytes). Equal tokens are ``same``; runs of others are regions, named by
-    their first pair; block headers, ends of blocks, padding and the container's frame are ``frame``.
+
+def bit_residual(account: DataFrame, our_sizes: DataFrame, their_sizes: DataFrame) -> DataFrame:
+    """(stream_id, residual_ours, residual_theirs): what the classes of ``bit_account`` leave of eight bits for each byte of the files; 0 if they are sound."""
+    spent = account.groupBy("stream_id").agg(F.sum("bits_ours").alias("x"), F.sum("bits_theirs").alias("y"))
+    sizes = our_sizes.select("stream_id", F.col("file_bytes").alias("p")).join(their_sizes.select("stream_id", F.col("file_bytes").alias("q")), "stream_id")
+    left = lambda size, used: F.col(size) * 8 - F.coalesce(used, F.lit(0))
+    return sizes.join(spent, "stream_id", "left").select("stream_id", left("p", "x").alias("residual_ours"), left("q", "y").alias("residual_theirs"))
+
+
+def bit_account(ours: DataFrame, theirs: DataFrame, our_frames: DataFrame, their_frames: DataFrame) -> DataFrame:
+    """(stream_id, class, regions, bits_ours, bits_theirs): where two packings of the same bytes spend their bits, all of it as walked.
+
+    ``ours`` and ``theirs`` are walks. Equal tokens are ``same``; runs of others are regions, named by their first pair; block headers,
+    ends of blocks, padding and the container are ``frame``. The frames (stream_id) may have ``container_bytes``; without it a member
+    has the plain 18. ``bit_residual`` holds the sums against the files' sizes.
     """
     a, b = (tokens(w).select("stream_id", "pos", *[F.col(c).alias(f"{c}_{n}") for c in ("length", "distance", "bits")]) for w, n in ((ours, "a"), (theirs, "b")))
     met = a.join(b, ["stream_id", "pos"], "full_outer")
@@ -388,12 +409,14 @@ def bit_account(ours: DataFrame, theirs: DataFrame, our_sizes: DataFrame, their_
     regions = marked.groupBy("stream_id", "island", "same").agg(F.min_by("kind", "pos").alias("kind"), F.sum("x").alias("x"), F.sum("y").alias("y"))
     named = regions.withColumn("class", F.when(F.col("same"), "same").otherwise(F.col("kind")))
     by = named.groupBy("stream_id", "class").agg(F.count("*").alias("regions"), F.sum("x").alias("bits_ours"), F.sum("y").alias("bits_theirs"))
-    spent = by.groupBy("stream_id").agg(F.sum("bits_ours").alias("x"), F.sum("bits_theirs").alias("y"))
-    sizes = our_sizes.select("stream_id", F.col("file_bytes").alias("p")).join(their_sizes.select("stream_id", F.col("file_bytes").alias("q")), "stream_id")
-    frame = sizes.join(spent, "stream_id").select(
-        "stream_id", F.lit("frame").alias("class"), F.lit(1).cast("long").alias("regions"), (F.col("p") * 8 - F.col("x")).alias("bits_ours"), (F.col("q") * 8 - F.col("y")).alias("bits_theirs")
-    )
-    return by.unionByName(frame)
+    def framed(walked: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+        members = walked.where("error is null and final").groupBy("stream_id").agg(F.count("*").alias("members"))
+        container = F.col("container_bytes") if "container_bytes" in sizes.columns else 18 * F.col("members")
+        met = sizes.join(members, "stream_id").join(frame_bits(walked), "stream_id")
+        return met.select("stream_id", (F.col("bits") + 8 * container).cast("long").alias(name))
+
+    frame = framed(ours, our_frames, "bits_ours").join(framed(theirs, their_frames, "bits_theirs"), "stream_id")
+    return by.unionByName(frame.select("stream_id", F.lit("frame").alias("class"), F.lit(1).cast("long").alias("regions"), "bits_ours", "bits_theirs"))
 
 
 def inflate64(packed: DataFrame, most: int = 1 << 30) -> DataFrame:

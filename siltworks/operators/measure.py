@@ -44,10 +44,11 @@ def norm_results(documents: DataFrame) -> DataFrame:
 
 
 def dedup(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row a key, by a fold in ``order``: a later row replaces the kept one if it has more trials, or else a lower cv."""
+    """One row a key, by a fold in ``order``: a later row replaces the kept one if it has more trials, or else a lower cv; nulls count as 0 trials and a cv of 1."""
     rest = [c for c in rows.columns if c not in key]
     sorted_rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("row"))))
-    better = lambda kept, new: (new["trials"] > kept["trials"]) | (new["cv"] < kept["cv"])
+    known = lambda r: (F.coalesce(r["trials"], F.lit(0)), F.coalesce(r["cv"], F.lit(1.0)))
+    better = lambda kept, new: (known(new)[0] > known(kept)[0]) | (known(new)[1] < known(kept)[1])
     got = rows.groupBy(*key).agg(sorted_rows.alias("s"))
     fold = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0))["row"], lambda k, x: F.when(better(k, x["row"]), x["row"]).otherwise(k))
     return got.select(*key, fold.alias("row")).select(*key, "row.*")
@@ -288,15 +289,90 @@ def run_history(scores: DataFrame) -> DataFrame:
     return by.withColumn("change", F.round(F.col("rate") - F.lag("rate").over(Window.orderBy("run")), 6))
 
 
-#: Causes of a loss by the words of its scenario or rival, the first that fits.
-CAUSES = (("single", "single-member decode"), ("bgzf", "block format"), ("L9", "high-level ratio"), ("L1", "fast path"), ("igzip", "vector code"), ("rapidgzip", "parallel decode"))
+def gap_cause(scenario: Column, rival: Column) -> Column:
+    """What a loss is put down to, by the words of its scenario and by the rival: the first rule that holds, else a default. Fixed values."""
+    has = lambda word: F.contains(scenario, F.lit(word))
+    return (
+        F.when(has("Tmax") & (rival == "rapidgzip") & ~has("bgzf"), "No parallel single-member decompression. rapidgzip speculatively parallelizes.")
+        .when(has("bgzf") & has("T1"), "BGZF T1 overhead from parallel detection. Consider fast-path for T1.")
+        .when(has("Tmax") & has("bgzf"), "BGZF Tmax contention or decompressor allocation overhead.")
+        .when(has("Tmax") & has("pigz"), "Multi-member parallel not matching rapidgzip's pipelining.")
+        .when(has("compress") & (rival == "igzip"), "ISA-L uses hand-tuned SIMD assembly for compression.")
+        .when(has("T1") & (rival == "igzip"), "ISA-L inflate uses hand-tuned x86 assembly.")
+        .otherwise("Investigate with local profiling.")
+    )
 
 
-def gap_cause(scenario: Column, rival: Column) -> Column:
-    out = F.when(F.lit(False), "")
-    for word, cause in CAUSES:
-        out = out.when(F.contains(scenario, F.lit(word)) | F.contains(rival, F.lit(word)), cause)
-    return out.otherwise("general")
+def scorecard(scores: DataFrame) -> DataFrame:
+    """(wins, losses, percent) of rows with ``verdict``: WIN is a win, all else a loss; whole percents, rounded down."""
+    wins = F.count_if(F.col("verdict") == "WIN")
+    told = scores.agg(wins.alias("wins"), (F.count("*") - wins).alias("losses"))
+    return told.withColumn("percent", F.expr("wins * 100 div nullif(wins + losses, 0)"))
+
+
+def loss_groups(scores: DataFrame) -> DataFrame:
+    """The losses among (scenario, platform, rival, gap, verdict), each with ``group``: the first rule that holds."""
+    scenario, packs = F.col("scenario"), ~F.contains("platform", F.lit("decompress"))
+    has = lambda word: F.contains(scenario, F.lit(word))
+    group = (
+        F.when((F.col("rival") == "igzip") & has("L1"), "igzip_l1")
+        .when(has("Tmax") & ~packs & F.col("rival").isin("rapidgzip", "unpigz"), "tmax_parallel")
+        .when(has("Tmax") & packs, "compress_scaling")
+        .when(F.col("gap") > -3.0, "near_parity")
+        .otherwise("other")
+    )
+    return scores.where("verdict <> 'WIN'").withColumn("group", group)
+
+
+RIVALS = ("pigz", "igzip", "gzip")
+
+
+def _beside(rows: DataFrame, config: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """A row for each configuration with our row: our values, and each rival's as ``rival_value``. Of several rows of a tool the largest value."""
+    of = lambda tool, v: F.max(F.when(F.col("tool") == tool, F.col(v)))
+    theirs = [of(r, v).alias(f"{r}_{v}") for r in RIVALS for v in values]
+    wide = rows.groupBy(*config).agg(F.count_if(F.col("tool") == OURS).alias("_own"), *[of(OURS, v).alias(v) for v in values], *theirs)
+    return wide.where("_own > 0").drop("_own")
+
+
+def summary_compress(rows: DataFrame, config: Sequence[str] = ("data_type", "level", "threads")) -> DataFrame:
+    """(config, speed, size, vs_pigz, vs_igzip, vs_gzip): our speed and size, and how many percent faster than each rival; null without it or at 0."""
+    wide = _beside(rows, config, ("speed", "size"))
+    vs = [F.when(F.col(f"{r}_speed") > 0, F.round((F.col("speed") / F.col(f"{r}_speed") - 1) * 100, 6)).alias(f"vs_{r}") for r in RIVALS]
+    return wide.select(*config, "speed", "size", *vs)
+
+
+def summary_decompress(rows: DataFrame, config: Sequence[str] = ("data_type", "level", "threads")) -> DataFrame:
+    """(config, speed, vs_pigz, vs_igzip, vs_gzip, wins, passed): two of three rivals at most 5 percent faster is a pass."""
+    told = summary_compress(rows, config).drop("size")
+    wins = sum((F.when(F.col(f"vs_{r}") >= -5, 1).otherwise(0) for r in RIVALS), F.lit(0))
+    return told.withColumn("wins", wins).withColumn("passed", F.col("wins") >= 2)
+
+
+def validation_table(rows: DataFrame, config: Sequence[str] = ("data_type", "level", "threads")) -> DataFrame:
+    """(config, median, gzip_speedup, pigz_speedup, size_change, slow, large): times against gzip and pigz, sizes against pigz.
+
+    ``slow`` and ``large`` say that the overhead in percent is above what the level allows.
+    """
+    wide = _beside(rows, config, ("median", "size"))
+    level = F.col("level")
+    most_time = F.when(level >= 7, 5.0).otherwise(2.0)  # fixed values, as the sizes'
+    most_size = F.when(level >= 9, 0.5).when(level >= 7, 2.0).otherwise(8.0)
+    both = lambda a, b, c: F.when((F.col(a) != 0) & (F.col(b) != 0), c)
+    faster = lambda r: both("median", f"{r}_median", F.round(F.col(f"{r}_median") / F.col("median"), 6))
+    slower = both("median", "pigz_median", (F.col("median") / F.col("pigz_median") - 1) * 100)
+    grown = both("size", "pigz_size", (F.col("size") / F.col("pigz_size") - 1) * 100)
+    return wide.select(
+        *config, "median", faster("gzip").alias("gzip_speedup"), faster("pigz").alias("pigz_speedup"), F.round(grown, 6).alias("size_change"),
+        (slower > most_time).alias("slow"), (grown > most_size).alias("large"),
+    )
+
+
+def route_check(rows: DataFrame, config: Sequence[str]) -> DataFrame:
+    """(config, change, ok): our median time over pigz's in percent; up to 5 percent slower is ok."""
+    wide = _beside(rows, config, ("median",)).where("pigz_median > 0")
+    change = (F.col("median") / F.col("pigz_median") - 1) * 100
+    return wide.select(*config, F.round(change, 6).alias("change"), (change <= 5).alias("ok"))
 
 
 def size_delta(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,16 +10,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _levelled(events: DataFrame) -> DataFrame:
+    """Begin and end events with ``open``, the spans open after each, and ``depth``, the level of the span that it begins or ends.
+
+    An end without an open span counts for nothing: it leaves the depth at 0 and has the level 0.
+    """
+    thread = Window.partitionBy("pid", "tid").orderBy("ts", "seq")
+    so_far = thread.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.col("ph") == "B"
+    marks = events.where(F.col("ph").isin("B", "E")).withColumn("_run", F.sum(F.when(begins, 1).otherwise(-1)).over(so_far))
+    # what the running sum fell below zero, so far, were stray ends
+    marks = marks.withColumn("open", F.col("_run") - F.least(F.lit(0), F.min("_run").over(so_far))).drop("_run")
+    return marks.withColumn("depth", F.when(begins, F.col("open")).otherwise(F.coalesce(F.lag("open").over(thread), F.lit(0))))
+
+
+#: Fixed value: the parent of a span that lies in no other.
+ROOT = "<root>"
+
+
 def pair_spans(events: DataFrame) -> DataFrame:
     """(pid, tid, name, parent, depth, start, end) of begin and end events (pid, tid, ts, seq, ph, name): an end closes the innermost open span, whatever its name.
 
-    Depth is a running sum; begin and end pair by (thread, depth, how many at that depth). Unmatched ones go.
+    Depth is a running sum, floored at 0; begin and end pair by (thread, depth, how many at that depth). Unmatched ones go.
     """
-    marks = events.where(F.col("ph").isin("B", "E"))
-    thread = Window.partitionBy("pid", "tid").orderBy("ts", "seq")
-    step = F.when(F.col("ph") == "B", 1).otherwise(-1)
-    running = F.sum(step).over(thread.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    deep = marks.withColumn("depth", running + F.when(F.col("ph") == "E", 1).otherwise(0))
+    deep = _levelled(events)
     nth = F.row_number().over(Window.partitionBy("pid", "tid", "depth", "ph").orderBy("ts", "seq"))
     numbered = deep.where("depth >= 1").withColumn("nth", nth)
     by = numbered.groupBy("pid", "tid", "depth", "nth").agg(
@@ -32,7 +47,7 @@ def pair_spans(events: DataFrame) -> DataFrame:
     placed = by.where("start is not null").withColumn("role", F.explode(roles)).select("*", "role.*")
     above = Window.partitionBy("pid", "tid", "level").orderBy("start", "seq", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parent = F.last(F.when(~F.col("asks"), F.struct("name")), True).over(above)["name"]
-    return placed.withColumn("parent", parent).where("asks and end is not null").select("pid", "tid", "name", "parent", "depth", "start", "end")
+    return placed.withColumn("parent", F.coalesce(parent, F.lit(ROOT))).where("asks and end is not null").select("pid", "tid", "name", "parent", "depth", "start", "end")
 
 
 def pair_spans_strict(events: DataFrame) -> DataFrame:
@@ -103,7 +118,7 @@ def call_tree(spans: DataFrame) -> DataFrame:
     """(parent, name, n, total, self): self time is what the children of a name don't take."""
     length = F.col("end") - F.col("start")
     own = spans.groupBy("parent", "name").agg(F.count("*").alias("n"), F.sum(length).alias("total"))
-    kids = spans.where("parent is not null").groupBy(F.col("parent").alias("name")).agg(F.sum(length).alias("below"))
+    kids = spans.where(F.col("parent") != ROOT).groupBy(F.col("parent").alias("name")).agg(F.sum(length).alias("below"))
     all_of = spans.groupBy("name").agg(F.sum(length).alias("of_name"))
     met = own.join(all_of, "name").join(kids, "name", "left")
     share = F.col("total") - F.coalesce("below", F.lit(0)) * F.col("total") / F.greatest("of_name", F.lit(1e-9))
@@ -142,29 +157,60 @@ def effective_cores(spans: DataFrame) -> DataFrame:
 
 
 def last_wave(spans: DataFrame, workers: int) -> DataFrame:
-    """(last_mean, all_mean, ratio): the mean length of the ``workers`` spans that end last, over that of all."""
-    length = (F.col("end") - F.col("start")).alias("length")
-    last = spans.select(length, "end", "start", "tid").orderBy(F.desc("end"), "start", "tid").limit(workers).agg(F.avg("length").alias("last_mean"))
-    return last.crossJoin(F.broadcast(spans.agg(F.avg(F.col("end") - F.col("start")).alias("all_mean")))).withColumn("ratio", F.col("last_mean") / F.col("all_mean"))
+    """(wave, last_mean, last_most, all_mean, ratio): the last ceil(n / workers) spans by start, against all of them."""
+    length = F.col("end") - F.col("start")
+    of_all = spans.agg(F.count("*").alias("n"), F.avg(length).alias("all_mean")).head()
+    wave = max(1, math.ceil(of_all["n"] / workers))
+    last = spans.orderBy(F.desc("start"), F.desc("end")).limit(wave).agg(F.avg(length).alias("last_mean"), F.max(length).alias("last_most"))
+    told = last.where("last_mean is not null").select(F.lit(wave).cast("long").alias("wave"), "*", F.lit(of_all["all_mean"]).alias("all_mean"))
+    return told.withColumn("ratio", F.when(F.col("all_mean") > 0, F.col("last_mean") / F.col("all_mean")))
+
+
+def _crossed(rows: DataFrame, group: str, rank: str, bits: int) -> DataFrame:
+    """(n): pairs of a group of which the earlier by (end, start) has the larger rank (of so many bits), counted a bit at a time."""
+    rank_of = F.col(rank)
+    each = rows.select(group, "start", "end", rank_of.alias("r"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    each = each.select("*", F.call_function("shiftright", F.col("r"), F.col("bit") + 1).alias("prefix"), F.call_function("shiftright", F.col("r"), F.col("bit")).bitwiseAND(F.lit(1)).alias("one"))
+    before = Window.partitionBy(group, "bit", "prefix").orderBy("end", "start", "r").rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("ahead", F.coalesce(F.sum("one").over(before), F.lit(0))).agg(F.coalesce(F.sum(F.when(F.col("one") == 0, F.col("ahead"))), F.lit(0)).alias("n"))
+
+
+#: Spans of a stretch of starts or ends, about: what one task sorts. The grid of stretches has ``GRID`` a side at most.
+PER_STRETCH, GRID = 1 << 16, 512
 
 
 def inversions(spans: DataFrame) -> DataFrame:
-    """(tid, n): spans that began after another of their thread and ended before it did, counted against the latest end so far."""
-    w = Window.partitionBy("tid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("reach", F.max("end").over(w)).groupBy("tid").agg(F.count_if(F.col("end") < F.col("reach")).alias("n"))
+    """(n, inversions): pairs of spans of all threads that are out of order between start and end: one starts before the other and ends after it.
+
+    Spans are cut into stretches by start and by end. Pairs in other stretches of both are counted on the grid of stretches; pairs
+    that share one of them, within it. Equal starts, and equal ends, are no inversion.
+    """
+    count = spans.count()
+    side = min(GRID, max(2, math.ceil(count / PER_STRETCH)))
+    at = [i / side for i in range(1, side)]
+    cuts = spans.agg(F.percentile_approx("start", at, 10_000).alias("s"), F.percentile_approx("end", at, 10_000).alias("e")).head()
+    rows = spans.select("start", "end", _slot(F.col("start"), sorted(set(cuts["s"] or []))).alias("i"), _slot(F.col("end"), sorted(set(cuts["e"] or []))).alias("j"))
+    full = spans.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("i"), (F.col("id") % side).cast("int").alias("j"))
+    cells = full.join(rows.groupBy("i", "j").agg(F.count("*").alias("c")), ["i", "j"], "left").na.fill(0, ["c"])
+    upto = lambda part, order: Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("a", F.coalesce(F.sum("c").over(upto("j", "i")), F.lit(0)))  # spans of earlier starts, same ends
+    cells = cells.withColumn("b", F.coalesce(F.sum("a").over(upto("i", F.desc("j"))), F.lit(0)))  # of those, and later ends
+    grid = cells.agg(F.coalesce(F.sum(F.col("c") * F.col("b")), F.lit(0)).alias("n"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("start", "end")) - 1)
+    within = _crossed(ranked, "i", "rank", max(1, count.bit_length()))
+    ends = _crossed(rows, "j", "i", max(1, side.bit_length()))
+    total = grid.unionByName(within).unionByName(ends).agg(F.sum("n").cast("long").alias("inversions"))
+    return total.select(F.lit(count).cast("long").alias("n"), "inversions")
 
 
 def leaf_time(events: DataFrame) -> DataFrame:
     """(pid, tid, name, total): time charged to the innermost open span, from each event to the next of its thread."""
     thread = Window.partitionBy("pid", "tid").orderBy("ts", "seq")
-    marks = events.where(F.col("ph").isin("B", "E"))
-    step = F.when(F.col("ph") == "B", 1).otherwise(-1)
-    depth = F.sum(step).over(thread.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    timed = marks.select("*", depth.alias("depth"), (F.lead("ts").over(thread) - F.col("ts")).alias("elapsed"))
+    timed = _levelled(events).withColumn("elapsed", F.lead("ts").over(thread) - F.col("ts"))
     # the innermost open span is the last begin at the depth reached
-    at = Window.partitionBy("pid", "tid", "depth").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = Window.partitionBy("pid", "tid", "open").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     top = F.last(F.when(F.col("ph") == "B", F.col("name")), True).over(at)
-    return timed.withColumn("top", top).where("depth > 0 and elapsed is not null").groupBy("pid", "tid", F.col("top").alias("name")).agg(F.sum("elapsed").alias("total"))
+    return timed.withColumn("top", top).where("open > 0 and elapsed is not null").groupBy("pid", "tid", F.col("top").alias("name")).agg(F.sum("elapsed").alias("total"))
 
 
 #: Stretches of values, of about as many distinct ones each, in which running counts are taken.

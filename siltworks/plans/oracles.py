@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.plans.inputs import CELLS, RESULTS, RUNS, SPANS
+from siltworks.plans.inputs import CELLS, MARKS, RESULTS, RUNS, SCORES, SPANS
 
 BLOBS = "blobs AS (SELECT doc_id AS stream_id, encode(coalesce(text, '')) AS raw FROM documents)"
 HIST = f"""{BLOBS},
@@ -28,6 +28,12 @@ CHUNK = """CASE WHEN (raw // 300000) * 300000 >= 131072 THEN (raw // 300000) * 3
 SIZES = f"""{BLOBS},
 sizes AS (SELECT stream_id, octet_length(raw) AS bytes, least(greatest(octet_length(raw) // 16, 524288), 8388608, greatest(octet_length(raw), 131072)) AS raw FROM blobs)"""
 BENCH = "blobs AS (SELECT item_id AS stream_id, encode(coalesce(text, '')) AS raw FROM benchmark)"
+WIDE = f"""{RESULTS},
+wide AS (
+  SELECT data_type, level, threads, max(speed) FILTER (tool = 'ours') AS speed, max(size) FILTER (tool = 'ours') AS size, max(median) FILTER (tool = 'ours') AS median,
+    max(speed) FILTER (tool = 'pigz') AS pigz_speed, max(speed) FILTER (tool = 'igzip') AS igzip_speed, max(speed) FILTER (tool = 'gzip') AS gzip_speed,
+    max(size) FILTER (tool = 'pigz') AS pigz_size, max(median) FILTER (tool = 'pigz') AS pigz_median, max(median) FILTER (tool = 'gzip') AS gzip_median
+  FROM results GROUP BY ALL HAVING count(*) FILTER (tool = 'ours') > 0)"""
 MEDIAN = "(s[(len(s) - 1) // 2 + 1] + s[len(s) // 2 + 1]) / 2"
 
 ORACLES = {
@@ -70,13 +76,13 @@ ORACLES = {
       (5, 'lazy', 16, 30, 5), (6, 'lazy', 35, 65, 6), (7, 'lazy', 100, 130, 7), (8, 'lazy2', 300, 258, 8), (9, 'lazy2', 600, 258, 9),
       (10, 'near-optimal', 35, 75, 9), (11, 'near-optimal', 100, 150, 9), (12, 'near-optimal', 300, 258, 9)) AS t(level, strategy, depth, nice, used_level)""",
     "win_rate": f"WITH {CELLS} SELECT corpus_set, count(*) AS n, sum(win)::BIGINT AS wins, round(100.0::DOUBLE * sum(win) / count(*), 6) AS rate FROM won GROUP BY 1",
-    "win_rate_sets": f"""WITH {CELLS}, sets AS (
-      SELECT corpus_set, rival, threads, level, grouping(rival, threads, level) AS gid, count(*) AS n, round(100.0::DOUBLE * sum(win) / count(*), 6) AS rate
-      FROM won GROUP BY GROUPING SETS ((corpus_set), (corpus_set, rival), (corpus_set, threads), (corpus_set, level), (corpus_set, rival, threads)))
-      SELECT coalesce(h.rival, b.rival, 'all') AS rival, coalesce(coalesce(h.threads, b.threads)::VARCHAR, 'all') AS threads, coalesce(coalesce(h.level, b.level)::VARCHAR, 'all') AS level, h.n AS holdout_n, h.rate AS holdout_rate, b.n AS board_n, b.rate AS board_rate,
-        round(h.rate - b.rate, 6) AS delta
-      FROM (SELECT * FROM sets WHERE corpus_set = 'holdout') h FULL JOIN (SELECT * FROM sets WHERE corpus_set = 'board') b
-        ON h.gid = b.gid AND h.rival IS NOT DISTINCT FROM b.rival AND h.threads IS NOT DISTINCT FROM b.threads AND h.level IS NOT DISTINCT FROM b.level""",
+    "win_rate_sets": f"""WITH {CELLS.replace("won AS", "won AS MATERIALIZED")}, sets AS (
+      SELECT rival, threads, level, count(*) FILTER (corpus_set = 'holdout') AS h, count(*) FILTER (corpus_set = 'board') AS b,
+        sum(win) FILTER (corpus_set = 'holdout') AS hw, sum(win) FILTER (corpus_set = 'board') AS bw
+      FROM won GROUP BY GROUPING SETS ((), (rival), (threads), (level), (rival, threads))),
+      rates AS (SELECT *, round(100.0::DOUBLE * hw / nullif(h, 0), 6) AS hr, round(100.0::DOUBLE * bw / nullif(b, 0), 6) AS br FROM sets)
+      SELECT coalesce(rival, 'all') AS rival, coalesce(threads::VARCHAR, 'all') AS threads, coalesce(level::VARCHAR, 'all') AS level,
+        nullif(h, 0) AS holdout_n, hr AS holdout_rate, nullif(b, 0) AS board_n, br AS board_rate, round(hr - br, 6) AS delta FROM rates WHERE h + b > 0""",
     "overfit_alarm": f"""WITH {CELLS}, r AS (
       SELECT round(100.0::DOUBLE * sum(win) FILTER (corpus_set = 'holdout') / count(*) FILTER (corpus_set = 'holdout'), 6) AS holdout_rate,
         round(100.0::DOUBLE * sum(win) FILTER (corpus_set = 'board') / count(*) FILTER (corpus_set = 'board'), 6) AS board_rate FROM won)
@@ -141,8 +147,48 @@ ORACLES = {
     "trace_diff": f"""WITH {SPANS}, t AS (SELECT name, coalesce(sum("end" - start) FILTER (tid % 2 = 0), 0)::BIGINT AS "left", coalesce(sum("end" - start) FILTER (tid % 2 = 1), 0)::BIGINT AS "right" FROM spans GROUP BY 1)
       SELECT *, "left" - "right" AS delta FROM t ORDER BY abs("left" - "right") DESC, name LIMIT 25""",
     "effective_cores": f'WITH {SPANS} SELECT sum("end" - start)::BIGINT AS total, max("end") - min(start) AS wall, round(sum("end" - start) / (max("end") - min(start)), 6) AS cores FROM spans',
-    "inversions": f"""WITH {SPANS}, r AS (SELECT *, max("end") OVER (PARTITION BY tid ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans)
-      SELECT tid, count(*) FILTER ("end" < reach) AS n FROM r GROUP BY 1""",
+    "inversions": f"""WITH {SPANS} SELECT (SELECT count(*) FROM spans) AS n, (SELECT count(*) FROM spans a JOIN spans b ON a.start < b.start AND a."end" > b."end") AS inversions""",
+    "last_wave": f"""WITH {SPANS}, l AS (SELECT "end" - start AS length, row_number() OVER (ORDER BY start DESC, "end" DESC) AS nth, count(*) OVER () AS n FROM spans),
+      w AS (SELECT any_value(ceil(n / 8))::BIGINT AS wave, avg(length) FILTER (nth <= ceil(n / 8)) AS last_mean, max(length) FILTER (nth <= ceil(n / 8)) AS last_most, avg(length) AS all_mean FROM l)
+      SELECT wave, round(last_mean, 6) AS last_mean, last_most, round(all_mean, 6) AS all_mean, round(last_mean / all_mean, 6) AS ratio FROM w""",
+    "pair_spans": f"WITH {MARKS} SELECT * FROM paired",
+    "leaf_time": f"""WITH {MARKS} SELECT e.tid, b.name, sum(e.next - e.ts)::BIGINT AS total
+      FROM (SELECT * FROM ended WHERE still > 0 AND next IS NOT NULL) e ASOF JOIN begun b ON e.tid = b.tid AND e.still = b.depth AND e.nth >= b.nth GROUP BY ALL""",
+    "call_tree": f"""WITH {MARKS} SELECT parent, name, count(*) AS n, sum("end" - start)::BIGINT AS total FROM paired GROUP BY ALL""",
+    "bit_residual": "SELECT doc_id AS stream_id, 0 AS residual_ours, 0 AS residual_theirs FROM documents",
+    "block_sizes": f"WITH {BLOBS} SELECT stream_id, octet_length(raw) AS bytes, 1 AS last, TRUE AS ok FROM blobs",
+    "cut_sizes": f"WITH {BLOBS} SELECT stream_id, octet_length(raw) AS bytes, TRUE AS whole FROM blobs",
+    "listed_sizes": f"WITH {BLOBS} SELECT stream_id, octet_length(raw) AS bytes FROM blobs UNION ALL SELECT -1, sum(octet_length(raw))::BIGINT FROM blobs",
+    "summary_compress": f"""WITH {WIDE} SELECT data_type, level, threads, speed, size, round((speed / pigz_speed - 1) * 100, 6) AS vs_pigz, round((speed / igzip_speed - 1) * 100, 6) AS vs_igzip, round((speed / gzip_speed - 1) * 100, 6) AS vs_gzip FROM wide""",
+    "summary_decompress": f"""WITH {WIDE}, v AS (SELECT data_type, level, threads, speed, round((speed / pigz_speed - 1) * 100, 6) AS vs_pigz, round((speed / igzip_speed - 1) * 100, 6) AS vs_igzip, round((speed / gzip_speed - 1) * 100, 6) AS vs_gzip FROM wide),
+      w AS (SELECT *, coalesce(vs_pigz >= -5, FALSE)::INT + coalesce(vs_igzip >= -5, FALSE)::INT + coalesce(vs_gzip >= -5, FALSE)::INT AS wins FROM v) SELECT *, wins >= 2 AS passed FROM w""",
+    "validation_table": f"""WITH {WIDE} SELECT data_type, level, threads, median, round(gzip_median / median, 6) AS gzip_speedup, round(pigz_median / median, 6) AS pigz_speedup, round((size / pigz_size - 1) * 100, 6) AS size_change,
+      (median / pigz_median - 1) * 100 > CASE WHEN level >= 7 THEN 5 ELSE 2 END AS slow, (size / pigz_size - 1) * 100 > CASE WHEN level >= 9 THEN 0.5 WHEN level >= 7 THEN 2 ELSE 8 END AS large FROM wide""",
+    "route_check": f"WITH {WIDE} SELECT data_type, level, threads, round((median / pigz_median - 1) * 100, 6) AS change, (median / pigz_median - 1) * 100 <= 5 AS ok FROM wide WHERE pigz_median > 0",
+    "scorecard": f"WITH {SCORES} SELECT count(*) FILTER (verdict = 'WIN') AS wins, count(*) FILTER (verdict <> 'WIN') AS losses, count(*) FILTER (verdict = 'WIN') * 100 // count(*) AS percent FROM scores",
+    "loss_groups": f"""WITH {SCORES} SELECT *, CASE WHEN rival = 'igzip' AND contains(scenario, 'L1') THEN 'igzip_l1' WHEN contains(scenario, 'Tmax') AND contains(platform, 'decompress') AND rival IN ('rapidgzip', 'unpigz') THEN 'tmax_parallel'
+      WHEN contains(scenario, 'Tmax') AND NOT contains(platform, 'decompress') THEN 'compress_scaling' WHEN gap > -3 THEN 'near_parity' ELSE 'other' END AS "group" FROM scores WHERE verdict <> 'WIN'""",
+    "gap_cause": f"""WITH {SCORES} SELECT scenario, platform, rival, CASE WHEN contains(scenario, 'Tmax') AND rival = 'rapidgzip' AND NOT contains(scenario, 'bgzf') THEN 'No parallel single-member decompression. rapidgzip speculatively parallelizes.'
+      WHEN contains(scenario, 'bgzf') AND contains(scenario, 'T1') THEN 'BGZF T1 overhead from parallel detection. Consider fast-path for T1.' WHEN contains(scenario, 'Tmax') AND contains(scenario, 'bgzf') THEN 'BGZF Tmax contention or decompressor allocation overhead.'
+      WHEN contains(scenario, 'Tmax') AND contains(scenario, 'pigz') THEN 'Multi-member parallel not matching rapidgzip''s pipelining.' WHEN contains(scenario, 'compress') AND rival = 'igzip' THEN 'ISA-L uses hand-tuned SIMD assembly for compression.'
+      WHEN contains(scenario, 'T1') AND rival = 'igzip' THEN 'ISA-L inflate uses hand-tuned x86 assembly.' ELSE 'Investigate with local profiling.' END AS cause FROM scores""",
+    "compare_band": f"WITH {RESULTS} SELECT data_type, level, threads, rival, CASE WHEN our_speed / speed = 0 THEN 'none' WHEN our_speed / speed >= 1 THEN 'good' WHEN our_speed / speed >= 0.95 THEN 'close' WHEN our_speed / speed IS NOT NULL THEN 'bad' END AS band FROM against",
+    "best_ratio": """WITH t AS (SELECT l_returnflag AS data_type, l_linenumber AS level, ['ours', 'pigz', 'igzip', 'gzip', 'rapidgzip'][(l_partkey % 5 + 1)::INT] AS tool, min(l_extendedprice) AS best, max(l_extendedprice) / min(l_extendedprice) - 1 AS spread FROM lineitem GROUP BY ALL),
+      r AS (SELECT a.data_type, a.level, a.tool, a.best / b.best AS ratio, greatest(a.spread, b.spread) AS margin FROM t a JOIN t b USING (data_type, level) WHERE b.tool = 'ours')
+      SELECT data_type, level, tool, round(ratio, 6) AS ratio, round(margin, 6) AS margin, CASE WHEN ratio < 1 - margin THEN 'WIN' WHEN ratio > 1 + margin THEN 'LOSS' ELSE 'TIE' END AS verdict FROM r""",
+    "trials": "SELECT l_orderkey AS run, count(*) AS n, median(l_quantity) AS median, min(l_quantity) AS least, max(l_quantity) AS most, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1 HAVING bool_and(l_discount < 0.08)",
+    "pin_match": f"""WITH {RESULTS}, o AS (SELECT data_type, level, threads, size, floor(speed)::BIGINT AS speed FROM results WHERE tool = 'ours'),
+      l AS (SELECT data_type, level, threads, unnest(['size', 'speed']) AS field, unnest([size, speed])::VARCHAR AS v FROM o)
+      SELECT data_type, level, field, p.v AS pinned, c.v AS "current" FROM (SELECT * FROM l WHERE threads = 1) p FULL JOIN (SELECT * FROM l WHERE threads = 2) c USING (data_type, level, field) WHERE p.v IS DISTINCT FROM c.v""",
+    "perf_shape": f"""WITH {CELLS}, w AS (SELECT file, coalesce(sum(ours) FILTER (threads = 1), 0)::HUGEINT AS t1, coalesce(sum(ours) FILTER (threads = 4), 0)::HUGEINT AS t4, coalesce(sum(rival_bytes) FILTER (threads = 1), 0)::HUGEINT AS p1,
+      coalesce(sum(rival_bytes) FILTER (threads = 4), 0)::HUGEINT AS p4 FROM cells GROUP BY 1) SELECT file, CASE WHEN p1 = 0 THEN t4 <= p4 ELSE t4 * p1 <= t1 * p4 END AS holds FROM w""",
+    "sample_stratified": """WITH s AS (SELECT p_brand AS file, p_partkey AS block, p_partkey % 16 AS most_bits, CASE WHEN p_partkey % 16 <= 9 THEN 'shallow' WHEN p_partkey % 16 >= 13 THEN 'deep' ELSE 'typical' END AS stratum FROM part)
+      SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY file, block) <= 10""",
+    "dedup": f"""WITH {RESULTS}, r AS (SELECT data_type, level, threads, tool, CASE WHEN size % 5 > 0 THEN size % 7 END AS trials, size % 11 / 10.0::DOUBLE AS cv FROM results),
+      l AS (SELECT data_type, level, list_reduce(list({{'threads': threads, 'tool': tool, 'trials': trials, 'cv': cv}} ORDER BY threads, tool), lambda k, x: CASE WHEN coalesce(x.trials, 0) > coalesce(k.trials, 0) OR coalesce(x.cv, 1) < coalesce(k.cv, 1) THEN x ELSE k END) AS k FROM r GROUP BY ALL)
+      SELECT data_type, level, k.threads AS threads, k.tool AS tool, k.trials AS trials, k.cv AS cv FROM l""",
+    "norm_results": f"""WITH {RESULTS} SELECT ['text', 'random', 'other'][(level % 3 + 1)::INT] || '.json' AS path, level, threads, CASE WHEN data_type <> 'N' THEN data_type ELSE ['text', 'random', 'unknown'][(level % 3 + 1)::INT] END AS data_type, tool, speed, size, median
+      FROM results WHERE tool <> 'gzip'""",
     "log_summary": """WITH l AS (SELECT event_type, count(*) AS n, list_sort(list(value)) AS s FROM events GROUP BY 1)
       SELECT event_type, n, s[n // 2 + 1] AS p50, s[least(n - 1, floor(n * 0.95::DOUBLE)::BIGINT) + 1] AS p95, s[n] AS most FROM l""",
     "verdict": """WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity % 8 AS e, l_discount * 10 AS c, l_partkey % 200 AS n, l_extendedprice % 8192 AS d, l_suppkey * 7 % 300 AS p FROM lineitem)

@@ -166,11 +166,37 @@ def table_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deflate.table_frequency(_walked(spark, sf_dir))
 
 
-def bit_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left once the classes are taken off both sizes: nothing."""
+def _both_packings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the bit account of levels 1 and 9, the file sizes of both)."""
     a, b = (_walked(spark, sf_dir, n) for n in (1, 9))
     x, y = (_packed(spark, sf_dir, level=n).select("stream_id", F.octet_length("packed").cast("long").alias("file_bytes")) for n in (1, 9))
-    return deflate.bit_account(a, b, x, y)
+    return deflate.bit_account(a, b, x, y), x, y
+
+
+def bit_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both_packings(spark, sf_dir)[0]
+
+
+def bit_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the walked bits leave of the files' sizes: nothing."""
+    return deflate.bit_residual(*_both_packings(spark, sf_dir))
+
+
+def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks make up each document, and one of them is the last."""
+    by = _walked(spark, sf_dir).groupBy("stream_id").agg(F.sum("span_bytes").alias("bytes"), F.count_if("final").alias("last"), F.max("error").alias("error"))
+    return by.select("stream_id", "bytes", "last", F.col("error").isNull().alias("ok"))
+
+
+def cut_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of ``rolling_cuts`` follow each other over the whole document."""
+    c = rolling_cuts(spark, sf_dir)
+    return c.groupBy("stream_id").agg(F.sum("size").alias("bytes"), (F.max(F.col("start") + F.col("size")) == F.sum("size")).alias("whole"))
+
+
+def listed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing's sizes, and their sum in the row of all."""
+    return gzip_listing(spark, sf_dir).select(F.coalesce("stream_id", F.lit(-1)).alias("stream_id"), "bytes")
 
 
 def _deflate64_round_trip(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -298,6 +324,85 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.run_history(g.select(F.col("level").alias("run"), (F.col("our_speed") / F.col("speed") - 1).alias("gap")))
 
 
+def summary_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.summary_compress(inputs.results(spark, sf_dir), CONFIG)
+
+
+def summary_decompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.summary_decompress(inputs.results(spark, sf_dir), CONFIG)
+
+
+def validation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.validation_table(inputs.results(spark, sf_dir), CONFIG)
+
+
+def route_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.route_check(inputs.results(spark, sf_dir), CONFIG)
+
+
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.scorecard(inputs.scores(spark, sf_dir))
+
+
+def loss_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.loss_groups(inputs.scores(spark, sf_dir))
+
+
+def gap_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.scores(spark, sf_dir).select("scenario", "platform", "rival", measure.gap_cause(F.col("scenario"), F.col("rival")).alias("cause"))
+
+
+def compare_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = measure.against(inputs.results(spark, sf_dir), CONFIG)
+    return g.select(*CONFIG, "rival", measure.compare_band(F.col("our_speed") / F.col("speed")).alias("band"))
+
+
+def best_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = measure.best_ratio(inputs.tool_runs(spark, sf_dir), ("data_type", "level"), "ours")
+    return b.withColumns({c: F.round(c, 6) for c in ("ratio", "margin")})
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = inputs.read(spark, sf_dir, "lineitem")
+    t = measure.trials(i.select(F.col("l_orderkey").alias("run"), (F.col("l_discount") < 0.08).alias("ok"), F.col("l_quantity").alias("seconds")), ("run",))
+    return t.withColumn("sd", F.round("sd", 6))
+
+
+def pin_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes with two threads against those with one, as pins."""
+    r = inputs.results(spark, sf_dir).where("tool = 'ours'")
+    a, b = (r.where(f"threads = {n}").select("data_type", "level", "size", F.floor("speed").alias("speed")) for n in (2, 1))
+    return measure.pin_match(a, b, ("data_type", "level"))
+
+
+def perf_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.cells(spark, sf_dir)
+    wide = lambda v: c.groupBy("file").agg(*[F.coalesce(F.sum(F.when(F.col("threads") == t, F.col(v))), F.lit(0)).alias(f"t{t}") for t in (1, 4)])
+    return measure.perf_shape(wide("ours"), wide("rival_bytes"), ("file",))
+
+
+def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as blocks of their brand."""
+    p = inputs.read(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("block"), (F.col("p_partkey") % 16).alias("most_bits"))
+    return measure.sample_stratified(p)
+
+
+def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result for each kind and level, of those of all threads and tools; every fifth doesn't know its trials."""
+    r = inputs.results(spark, sf_dir)
+    r = r.select("data_type", "level", "threads", "tool", F.when(F.col("size") % 5 > 0, F.col("size") % 7).alias("trials"), (F.col("size") % 11 / 10.0).alias("cv"))
+    return measure.dedup(r, ("data_type", "level"), ("threads", "tool"))
+
+
+def norm_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results put into documents and taken out again; those of gzip have an error."""
+    r = inputs.results(spark, sf_dir)
+    one = F.struct("tool", F.col("speed").alias("speed_mbps"), F.col("size").alias("output_size"), F.col("median").alias("time"), F.when(F.col("tool") == "gzip", "bad").alias("error"))
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("text", "random", "other"))), (F.col("level") % 3 + 1).cast("int")), F.lit(".json"))
+    docs = r.groupBy("data_type", "level", "threads").agg(F.collect_list(one).alias("results")).select(path.alias("path"), "level", "threads", F.when(F.col("data_type") != "N", F.col("data_type")).alias("content_type"), "results")
+    return measure.norm_results(docs).drop("trials", "cv")
+
+
 def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = measure.bench_summary(inputs.timed_runs(spark, sf_dir)).drop("times")
     b = b.withColumns({c: F.round(c, 9) for c in ("mbps", "p10_mbps", "p90_mbps")})
@@ -345,6 +450,30 @@ def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.inversions(inputs.spans(spark, sf_dir))
 
 
+def last_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = trace.last_wave(inputs.spans(spark, sf_dir), 8)
+    return w.withColumns({c: F.round(c, 6) for c in ("last_mean", "all_mean", "ratio")})
+
+
+def pair_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other event ends a span: with ends that no begin goes with."""
+    return trace.pair_spans(inputs.marks(spark, sf_dir)).drop("pid")
+
+
+def leaf_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.leaf_time(inputs.marks(spark, sf_dir)).drop("pid")
+
+
+def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.call_tree(trace.pair_spans(inputs.marks(spark, sf_dir))).select("parent", "name", "n", "total")
+
+
+def pair_spans_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By name; how many pairs and anomalies each thread has."""
+    p = trace.pair_spans_strict(inputs.marks(spark, sf_dir))
+    return p.groupBy("tid").agg(F.count_if(~F.col("anomaly")).alias("pairs"), F.count_if("anomaly").alias("anomalies"))
+
+
 def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.log_summary(inputs.read(spark, sf_dir, "events"), "event_type", "value")
 

@@ -66,3 +66,13 @@ def complete_set(declared: DataFrame, present: DataFrame, key: str | list[str])
     gone = missing.agg(F.min("m").alias("m"))
     check: Column = F.assert_true(F.col("m").isNull(), F.concat(F.lit("missing member: "), F.col("m")))
     return declared.join(F.broadcast(gone.select(check.alias("checked"))), F.lit(True)).where("checked is null").drop("checked")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """JSON lines, one file a task; an existing folder is an error."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def write_pins(rows: DataFrame, path: str) -> None:
+    """Tab-separated files with a header each, as ``read_pins`` reads them; an existing folder is an error."""
+    rows.write.mode("errorifexists").option("sep", "\t").option("header", "true").csv(path)

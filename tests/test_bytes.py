@@ -91,6 +91,37 @@ def test_bits_are_accounted_for(raws):
     sizes = {r.stream_id: r.file_bytes for r in size(a).collect()}, {r.stream_id: r.file_bytes for r in size(b).collect()}
     for r in acc.collect():
         assert (r.x, r.y) == (8 * sizes[0][r.stream_id], 8 * sizes[1][r.stream_id]) and r.least >= 0
+    account = deflate.bit_account(deflate.blocks(a), deflate.blocks(b), size(a), size(b))
+    assert {(r.residual_ours, r.residual_theirs) for r in deflate.bit_residual(account, size(a), size(b)).collect()} == {(0, 0)}
+    wrong = size(a).withColumn("file_bytes", F.col("file_bytes") + 3)
+    assert {(r.residual_ours, r.residual_theirs) for r in deflate.bit_residual(account, wrong, size(b)).collect()} == {(24, 0)}
+
+
+def test_headers_beyond_the_limits_are_refused(spark):
+    def bits(*fields):
+        x = at = 0
+        for value, width in fields:
+            x, at = x | value << at, at + width
+        return x.to_bytes((at + 7) // 8, "little")
+
+    frame = lambda body: b"\x1f\x8b\x08" + bytes(7) + body + bytes(16)
+    lengths = [(0, 3), (0, 3), (1, 3), *[(0, 3)] * 14, (1, 3)]  # of the code lengths: 18 and 1 have one bit each
+    many, dist = (bits((1, 1), (2, 2), (30, 5), (0, 5), (15, 4)), bits((1, 1), (2, 2), (0, 5), (30, 5), (15, 4)))
+    past = bits((1, 1), (2, 2), (0, 5), (0, 5), (14, 4), *lengths, *[(1, 1), (127, 7)] * 2)
+    said = [r.error for r in deflate.blocks(packed(spark, [frame(many), frame(dist), frame(past)])).orderBy("stream_id").collect()]
+    assert said == ["too many codes", "too many codes", "a repeat runs past the codes"]
+
+
+def test_many_members_are_read_in_pieces(spark):
+    data = b"".join(gzip.compress(bytes([k % 256]) * (k * 37), mtime=0) for k in range(3000)) + bytes(20)
+    assert codec.unpack(data) == (b"".join(bytes([k % 256]) * (k * 37) for k in range(3000)), 3000)
+    big = gzip.compress(R.randbytes(300_000) + bytes(500_000), mtime=0)
+    assert len(codec.unpack(big * 2)[0]) == 1_600_000 and codec.unpack(big, most=800_000)[1] == 1
+    with pytest.raises(ValueError):
+        codec.unpack(big, most=799_999)
+    found = codec.members(packed(spark, [data, big * 2, big[:-3]])).collect()
+    assert sorted((r.stream_id, r.member, r.error) for r in found if r.stream_id) == [(1, 0, None), (1, 1, None), (2, 0, "truncated")]
+    assert sum(r.length or 0 for r in found if r.stream_id == 0) == len(data) - 20
 
 
 def test_deflate64(spark, raws):
