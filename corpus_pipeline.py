@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns a DataFrame; all but the last
 return the columns of documents, with ``n_chars`` that of the text that is left.
+
+Results in odd cases: documents without text or letters go in the first stage, and all of them do where no training document has a language.
+A document whose every line goes stays with an empty text, gives nothing to the mix and so isn't encoded. Rows that repeat an id
+and text become one in the third stage. Rows with a null id stay until the mix. Other columns are kept until the last
+stage, whatever their names. An empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
