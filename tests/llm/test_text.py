@@ -320,3 +320,23 @@ def test_pipeline(spark, documents):
             stay = lines_kept([(r.doc_id, r.text) for r in before.collect()])
             assert docs.agg(F.sum(F.length("text"))).head()[0] == sum(len("\n".join(x for k, x in enumerate((r.text or "").split("\n")) if not x.strip() or (r.doc_id, k) in stay)) for r in before.collect())
     assert docs.count() == before.count() and docs.agg(F.sum("n_tokens")).head()[0] > 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as c
+
+    for df in (odd, odd.limit(0), odd.withColumn("lang", F.lit(None).cast("string"))):
+        docs, seen = df, []
+        for name, stage in c.STAGES:
+            docs = spark.createDataFrame(stage(spark, docs, "").collect(), stage(spark, docs, "").schema)
+            seen.append(docs.collect())
+            assert name == "bpe" or docs.columns == df.columns
+        ids = [sorted((r.doc_id for r in rows), key=str) for rows in seen]
+        if df is odd:
+            assert ids[0] == sorted([4, 4, 5, 6, 8, None], key=str) and ids[1] == ids[0]
+            assert {r.doc_id: r.text for r in seen[1]}[5] == "" and ids[2].count(4) == 1
+            assert 5 not in ids[3] and len(ids[4]) == len(ids[3]) and all(r.n_tokens > 0 for r in seen[4])
+            assert all(r.n_chars == len(r.text) for r in seen[1] + seen[3])
+        else:
+            assert ids == [[]] * 5
