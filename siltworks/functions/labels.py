@@ -128,6 +128,17 @@ def human_bytes(n: Column, units: Sequence[str] = ("B", "KiB", "MiB", "GiB", "Ti
     return out
 
 
+def saved_percent(before: Column, after: Column) -> Column:
+    """How many percent smaller, 0 for nothing before."""
+    return F.when(before > 0, (1 - after / before) * 100).otherwise(0.0)
+
+
+def saved_text(before: Column, after: Column) -> Column:
+    """The saved percentage between -99.9 and 99.9, seven characters wide."""
+    held = F.greatest(F.least(saved_percent(before, after), F.lit(99.9)), F.lit(-99.9))
+    return F.format_string("%7.1f%%", F.bround(held, 1))
+
+
 def bar(value: Column, most: float, width: int) -> Column:
     """A bar of eighths of a character, in brackets."""
     eighths = F.round(F.greatest(F.least(value / most, F.lit(1.0)), F.lit(0.0)) * width * 8).cast("int")

@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.labels import little_endian
@@ -180,6 +180,19 @@ def listing(packed: DataFrame) -> DataFrame:
     )
 
 
+def listing_detail(packed: DataFrame) -> DataFrame:
+    """(stream_id, method, crc, date, packed_bytes, bytes, ratio, name) of each gzip blob: its checksum as hex, its time in UTC without the year, null at 0."""
+    sizes = headers(packed).join(packed.select("stream_id", F.octet_length("packed").cast("long").alias("packed_bytes")), "stream_id").where("ok")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("mtime") / 86_400).cast("int"))
+    clock = lambda by, most: (F.floor(F.col("mtime") / by) % most).cast("int")
+    date = F.format_string("%s %2d %02d:%02d", F.date_format(day, "MMM"), F.dayofmonth(day), clock(3600, 24), clock(60, 60))
+    ratio = F.when(F.col("isize") > 0, F.greatest(F.least(100.0 * (1 - F.col("packed_bytes") / F.col("isize")), F.lit(99.9)), F.lit(-99.9))).otherwise(0.0)
+    return sizes.select(
+        "stream_id", F.lit("defla").alias("method"), F.lower(F.lpad(F.hex("crc"), 8, "0")).alias("crc"), F.when(F.col("mtime") > 0, date).alias("date"),
+        "packed_bytes", F.col("isize").alias("bytes"), F.round(ratio, 4).alias("ratio"), "name",
+    )
+
+
 def members(packed: DataFrame) -> DataFrame:
     """(stream_id, member, start, length, isize, output_offset, error): the gzip members of each blob; a bad one ends its blob with an error."""
 
@@ -220,9 +233,11 @@ def dominance(found: DataFrame, threads: int) -> DataFrame:
 
 def route(packed: DataFrame, threads: int) -> DataFrame:
     """(stream_id, route): how a decoder would go about each blob."""
+    from siltworks.operators.marked import mark
+
     kind = members(packed)
     facts = kind.groupBy("stream_id").agg(F.count("*").alias("members"))
-    marked = F.contains(F.hex(F.substring("packed", 13, 2)), F.lit("475A")) & (F.conv(F.hex(F.substring("packed", 4, 1)), 16, 10).cast("int").bitwiseAND(4) > 0)
+    marked = F.coalesce(mark(F.col("packed")) == "marked", F.lit(False))
     body = F.conv(F.hex(F.substring("packed", 11, 1)), 16, 10).cast("int")
     stored = (F.hex(F.substring("packed", 4, 1)) == "00") & (F.floor(body / 2) % 4 == 0)
     n = F.octet_length("packed")
@@ -275,12 +290,20 @@ def smallest(blobs: DataFrame, levels: tuple[int, ...] = (1, 6, 9)) -> DataFrame
     return arms.groupBy("stream_id").agg(F.min(F.struct("packed_bytes", "level")).alias("m")).select("stream_id", "m.level", "m.packed_bytes")
 
 
-def framed(raw_packed: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(stream_id, packed): raw DEFLATE with a gzip header before it and the checksum and size of its blob after it."""
+def framed(raw_packed: DataFrame, blobs: DataFrame, name: Column | None = None, mtime: Column | None = None) -> DataFrame:
+    """(stream_id, packed): raw DEFLATE with a gzip header before it and the checksum and size of its blob after it.
+
+    ``name`` (Latin-1) and ``mtime`` are columns of ``blobs``; a null name isn't written.
+    """
     le = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
-    tail = blobs.select("stream_id", le(F.crc32("raw")).alias("crc"), le(F.octet_length("raw").cast("long")).alias("size"))
+    name = F.lit(None).cast("string") if name is None else name
+    text = F.coalesce(F.concat(F.encode(name, "ISO-8859-1"), F.lit(b"\0")), F.lit(b""))
+    flag = F.when(name.isNull(), F.lit(b"\0")).otherwise(F.lit(b"\x08"))
+    when = le(F.lit(0).cast("long") if mtime is None else mtime.cast("long"))
+    head = F.concat(F.lit(b"\x1f\x8b\x08"), flag, when, F.lit(b"\0\xff"), text)
+    tail = blobs.select("stream_id", head.alias("head"), le(F.crc32("raw")).alias("crc"), le(F.octet_length("raw").cast("long")).alias("size"))
     joined = raw_packed.join(tail, "stream_id")
-    return joined.select("stream_id", F.concat(F.lit(bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255])), "packed", "crc", "size").alias("packed"))
+    return joined.select("stream_id", F.concat("head", "packed", "crc", "size").alias("packed"))
 
 
 def huffman_only(blobs: DataFrame) -> DataFrame:

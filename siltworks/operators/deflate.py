@@ -112,9 +112,9 @@ def table_hash(lit: tuple[int, ...], dist: tuple[int, ...]) -> str:
 
 
 def walk(data: bytes, at: int, wide: bool = False) -> Iterator[tuple]:
-    """The blocks of the DEFLATE stream at byte ``at``: (start_bit, header_bits, data_bits, type, final, table, tokens).
+    """The blocks of the DEFLATE stream at byte ``at``: (start_bit, header_bits, data_bits, type, final, lengths, tokens).
 
-    Tokens are (length, distance, bits, value): a literal has length 0, distance 0 and its byte as value, stored bytes are
+    Lengths are those of the literal and the distance codes, null in a stored block. Tokens are (length, distance, bits, value): a literal has length 0, distance 0 and its byte as value, stored bytes are
     (-n, 0, 8n, byte of the stream). ``wide`` reads Deflate64.
     """
     length_steps, distance_steps = (WIDE_LENGTHS, WIDE_DISTANCES) if wide else (LENGTHS, DISTANCES)
@@ -124,7 +124,7 @@ def walk(data: bytes, at: int, wide: bool = False) -> Iterator[tuple]:
         start = bits.at
         final, kind = bits.read(1), bits.read(2)
         tokens: list[tuple[int, int, int, int]] = []
-        table = None
+        lengths = None
         if kind == 0:
             bits.at = (bits.at + 7) & ~7
             n, check = bits.read(16), bits.read(16)
@@ -139,8 +139,7 @@ def walk(data: bytes, at: int, wide: bool = False) -> Iterator[tuple]:
         elif kind == 3:
             raise ValueError("reserved block type")
         else:
-            lit, dist = dynamic_lengths(bits) if kind == 2 else FIXED_LENGTHS
-            table = table_hash(lit, dist) if kind == 2 else None
+            lit, dist = lengths = dynamic_lengths(bits) if kind == 2 else FIXED_LENGTHS
             body = here = bits.at
             (lit_bits, lit_table), (dist_bits, dist_table) = decoder(lit), decoder(dist)
             lit_mask, dist_mask, most = (1 << lit_bits) - 1, (1 << dist_bits) - 1, 8 * len(data)
@@ -172,7 +171,7 @@ def walk(data: bytes, at: int, wide: bool = False) -> Iterator[tuple]:
                 if s == 256:
                     break
             bits.at = here
-        yield start - 8 * at, body - start, bits.at - body, kind, bool(final), table, tokens
+        yield start - 8 * at, body - start, bits.at - body, kind, bool(final), lengths, tokens
     walk.end = (bits.at + 7) // 8
 
 
@@ -222,8 +221,9 @@ def blocks(packed: DataFrame) -> DataFrame:
         try:
             while at < len(data):
                 body = header_end(data, at)
-                for start, head, bits, kind, final, table, tokens in walk(data, body):
+                for start, head, bits, kind, final, lengths, tokens in walk(data, body):
                     size = sum(abs(t[0]) or 1 for t in tokens)
+                    table = table_hash(*lengths) if kind == 2 else None
                     yield member, n, start, head, bits, BLOCK_TYPES[kind], final, table, size, tokens, None
                     n += 1
                 at, member = walk.end + 8, member + 1
@@ -250,6 +250,31 @@ def blocks(packed: DataFrame) -> DataFrame:
     return packed.select("stream_id", "packed").mapInArrow(walked, f"stream_id {id_type}, {BLOCKS}")
 
 
+def code_lengths(packed: DataFrame) -> DataFrame:
+    """(stream_id, member, block, btype, start_bit, body_bit, end_bit, literals, distances, error): the code lengths of every block, null in stored ones."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["stream_id", "member", "block", "btype", "start_bit", "body_bit", "end_bit", "literals", "distances", "error"]
+        for batch in batches:
+            rows = []
+            for i, data in zip(batch["stream_id"], batch["packed"], strict=True):
+                data, at, m, n = bytes(data) if data is not None else b"", 0, 0, 0
+                try:
+                    while at < len(data):
+                        for start, head, bits, kind, _, lengths, _ in walk(data, header_end(data, at)):
+                            lit, dist = map(list, lengths) if lengths else (None, None)
+                            rows.append((i, m, n, BLOCK_TYPES[kind], start, start + head, start + head + bits, lit, dist, None))
+                            n += 1
+                        at, m = walk.end + 8, m + 1
+                except (ValueError, IndexError) as e:
+                    rows.append((i, m, n, None, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("start_bit", "body_bit", "end_bit")})
+
+    id_type = packed.schema["stream_id"].dataType.simpleString()
+    schema = f"stream_id {id_type}, member long, block long, btype string, start_bit long, body_bit long, end_bit long, literals array<int>, distances array<int>, error string"
+    return packed.select("stream_id", "packed").mapInPandas(listed, schema)
+
+
 def tokens(walked: DataFrame) -> DataFrame:
     """(stream_id, pos, block, length, distance, bits): positioned tokens; a literal has distance 0 and length 1, stored bytes are literals one by one."""
     each = walked.where("error is null").select("stream_id", "block", F.posexplode("tokens").alias("k", "t"))

@@ -375,6 +375,74 @@ def route_check(rows: DataFrame, config: Sequence[str]) -> DataFrame:
     return wide.select(*config, F.round(change, 6).alias("change"), (change <= 5).alias("ok"))
 
 
+def _first(rows: DataFrame, keep: Column, order: Sequence[str], name: str) -> Column:
+    """The first row by ``order`` that ``keep`` holds for."""
+    return F.min_by(F.struct(*[c for c in rows.columns if c not in order], *order), F.when(keep, F.struct(*order))).alias(name)
+
+
+def _key_rows(rows: DataFrame, order: Sequence[str], fast: int, small: int) -> DataFrame:
+    """One row with the first results of both tools at level ``fast`` with threads, and at level ``small``."""
+    own, pigz = (F.col("tool") == t for t in (OURS, "pigz"))
+    quick, level = (F.col("level") == fast) & (F.col("threads") > 1), F.col("level") == small
+    return rows.agg(*[_first(rows, a & b, order, n) for n, a, b in (("f", own, quick), ("fp", pigz, quick), ("s", own, level), ("sp", pigz, level))])
+
+
+def key_metrics(rows: DataFrame, unpacking: DataFrame, order: Sequence[str], fast: int = 1, small: int = 9) -> DataFrame:
+    """(speed_vs_pigz, size_vs_pigz, best_speed, best_source), one row: the first threaded results at level ``fast``, the first
+    at level ``small``, in percent; and the fastest of ``unpacking`` (tool, speed, source), the first source of equals. Null where a side is missing or 0."""
+    base = _key_rows(rows, order, fast, small)
+    best = unpacking.where(F.col("tool") == OURS).agg(F.max(F.struct("speed")).alias("_b"), F.min(F.struct((-F.col("speed")).alias("speed"), "source")).alias("b"))
+    percent = lambda a, b: F.when(F.col(b) > 0, F.round((F.col(a) / F.col(b) - 1) * 100, 6))
+    told = base.crossJoin(best)  # one row each
+    return told.select(
+        percent("f.speed", "fp.speed").alias("speed_vs_pigz"), percent("s.size", "sp.size").alias("size_vs_pigz"), F.col("_b.speed").alias("best_speed"), F.col("b.source").alias("best_source")
+    )
+
+
+def goals(rows: DataFrame, unpacking: DataFrame, order: Sequence[str], fast: int = 1, small: int = 9, smallest: int = 11, least_speed: float = 300.0) -> DataFrame:
+    """(goal, passed): a row for each goal that there are results for.
+
+    Packing as fast as pigz, within half a percent of its size, no larger than gzip at level ``smallest``, and unpacking our own files at ``least_speed``.
+    """
+    base = _key_rows(rows, order, fast, small)
+    top = F.col("level") == smallest
+    most = rows.agg(_first(rows, (F.col("tool") == OURS) & top, order, "t"), _first(rows, (F.col("tool") == "gzip") & top, order, "tg"))
+    mine = unpacking.where((F.col("tool") == OURS) & (F.col("source") == OURS)).agg(F.min_by("speed", F.struct(*order)).alias("u"))
+    told = base.crossJoin(most).crossJoin(mine)  # one row each
+    all_of = {
+        "packing speed": F.col("f.speed") >= F.col("fp.speed"),
+        "packed size": F.col("s.size") <= F.col("sp.size") * 1.005,
+        "smallest size": F.when(F.col("tg.size") > 0, F.col("t.size") <= F.col("tg.size")),
+        "unpacking speed": F.col("u") >= least_speed,
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("goal"), c.alias("passed")) for k, c in all_of.items()])
+    return told.select(F.explode(each).alias("g")).select("g.*").where("passed is not null")
+
+
+def single_member_goals(rows: DataFrame) -> DataFrame:
+    """(threads, passed): our single-member speed is 99 percent of rapidgzip's or more; rows (threads, tool, speed, error), those with an error don't count."""
+    fine = rows.where("error is null").groupBy("threads").agg(F.max(F.when(F.col("tool") == OURS, F.col("speed"))).alias("a"), F.max(F.when(F.col("tool") == "rapidgzip", F.col("speed"))).alias("b"))
+    return fine.where("a is not null and b > 0").select("threads", (F.col("a") / F.col("b") >= 0.99).alias("passed"))
+
+
+#: The ways in which a probe of the fast parse ends.
+OUTCOMES = ("miss", "too_short", "accepted", "deferred")
+
+
+def reconcile(counters: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, outcomes_left, positions_left): what the sums of counters leave; nothing if they agree.
+
+    Probes against their outcomes, and positions (processed, skipped) against the bytes given out (literals, match_bytes). The
+    second holds only where the fast parse alone ran (``attempts`` > 0, no ``other_attempts``) and is null elsewhere.
+    """
+    pure = (F.col("attempts") > 0) & (F.col("other_attempts") == 0)
+    return counters.select(
+        *key,
+        (F.col("attempts") - sum(map(F.col, OUTCOMES), F.lit(0))).alias("outcomes_left"),
+        F.when(pure, F.col("processed") + F.col("skipped") - F.col("literals") - F.col("match_bytes")).alias("positions_left"),
+    )
+
+
 def size_delta(cells: DataFrame) -> DataFrame:
     """(n, bigger, total, worst_pct, worst_file): only a positive percentage can be the worst."""
     pct = 100.0 * (F.col("ours") - F.col("rival_bytes")) / F.col("rival_bytes")

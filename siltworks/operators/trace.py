@@ -105,6 +105,18 @@ def busy_wait(spans: DataFrame, waits: Column) -> DataFrame:
     return spans.groupBy("tid").agg(total(~waits).alias("busy"), total(waits).alias("wait"))
 
 
+def lock_waits(spans: DataFrame) -> DataFrame:
+    """(lock, n, total, most) of the spans named lock.wait, by the lock that their ``args`` (a map) name."""
+    waits = spans.where("name = 'lock.wait'").withColumn("lock", F.coalesce(F.col("args")["lock"], F.lit("<unknown>")))
+    return span_totals(waits, "lock")
+
+
+def alloc_sites(instants: DataFrame) -> DataFrame:
+    """(site, n, bytes) of the instants named alloc, by the site that their ``args`` (a map) name; without a number of bytes they count as 0."""
+    found = instants.where("name = 'alloc'").select(F.coalesce(F.col("args")["site"], F.lit("<unknown>")).alias("site"), F.coalesce(F.expr("try_cast(args['bytes'] as long)"), F.lit(0)).alias("bytes"))
+    return found.groupBy("site").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
 def busy_wait_gap(spans: DataFrame, waits: Column, tolerance: float = 0.02) -> DataFrame:
     """(tid, busy, wait, life, gap, closed): what is left of each thread's life; closed if busy, wait and gap make it up and the gap isn't negative beyond the tolerance."""
     length = F.col("end") - F.col("start")

@@ -34,6 +34,15 @@ wide AS (
     max(speed) FILTER (tool = 'pigz') AS pigz_speed, max(speed) FILTER (tool = 'igzip') AS igzip_speed, max(speed) FILTER (tool = 'gzip') AS gzip_speed,
     max(size) FILTER (tool = 'pigz') AS pigz_size, max(median) FILTER (tool = 'pigz') AS pigz_median, max(median) FILTER (tool = 'gzip') AS gzip_median
   FROM results GROUP BY ALL HAVING count(*) FILTER (tool = 'ours') > 0)"""
+#: The checksum, a table step a byte; the table's entries by eight steps each.
+CRC = f"""{BLOBS},
+steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS s FROM range(256) AS r(i)),
+digits AS (SELECT stream_id, octet_length(raw) AS bytes, list_transform(regexp_extract_all(hex(raw), '..'), lambda p: ('0x' || p)::BIGINT) AS d FROM blobs),
+sums AS (SELECT stream_id, bytes, xor(list_reduce(list_prepend(4294967295, d), lambda a, b: xor(a // 256, s[xor(a % 256, b) + 1])), 4294967295) AS crc FROM digits, steps)"""
+LEVELS = f"""{RESULTS},
+levels AS (
+  SELECT data_type, threads, tool, speed, size, CASE level WHEN 6 THEN 11 WHEN 7 THEN 9 ELSE level END AS level, CASE data_type WHEN 'A' THEN 'ours' ELSE lower(data_type) END AS source,
+    {{'a': data_type, 'b': CASE level WHEN 6 THEN 11 WHEN 7 THEN 9 ELSE level END, 'c': threads}} AS o, level = 1 AND threads > 1 AS fast FROM results)"""
 MEDIAN = "(s[(len(s) - 1) // 2 + 1] + s[len(s) // 2 + 1]) / 2"
 
 ORACLES = {
@@ -198,4 +207,35 @@ ORACLES = {
         CASE WHEN p >= 258 THEN 'capped' WHEN p >= 64 THEN 'solid' WHEN p >= 16 THEN 'short' ELSE 'none' END AS cap FROM v""",
     "human_sizes": f"""WITH {BLOBS} SELECT stream_id, CASE WHEN octet_length(raw) >= 1048576 THEN printf('%.1f', octet_length(raw) / 1048576.0::DOUBLE) || ' MiB' WHEN octet_length(raw) >= 1024 THEN printf('%.1f', octet_length(raw) / 1024.0::DOUBLE) || ' KiB' ELSE octet_length(raw)::VARCHAR || ' B' END AS human,
       ['gzip', 'zlib', 'zip', 'gzip', 'gzip'][(stream_id % 5 + 1)::INT] AS format FROM blobs""",
+    "marked_blocks": f"""WITH {BLOBS}, starts AS (SELECT stream_id, octet_length(raw) AS n, unnest(range(0, greatest(octet_length(raw), 1), 1024)) AS start FROM blobs)
+      SELECT stream_id, start // 1024 AS block, least(1024, n - start) AS isize, start AS output_offset, NULL::VARCHAR AS error FROM starts""",
+    "marked_round_trip": f"WITH {BLOBS} SELECT stream_id, greatest((octet_length(raw) + 1023) // 1024, 1) AS members, octet_length(raw) AS bytes, sha256(raw) AS sha256 FROM blobs",
+    "gzip_structure": f"WITH {BLOBS} SELECT stream_id, CASE WHEN stream_id % 4 = 0 THEN 'marked' WHEN stream_id % 4 < 3 THEN 'gzip' WHEN octet_length(raw) < 2 THEN 'too small' ELSE 'not gzip' END AS kind FROM blobs",
+    "output_estimate": f"WITH {BLOBS} SELECT stream_id, octet_length(raw) AS bytes FROM blobs WHERE stream_id % 4 < 3",
+    "gzip_route": "SELECT doc_id AS stream_id, 'single-parallel' AS route FROM documents",
+    "mixed_routes": "SELECT doc_id AS stream_id, ['marked-parallel', 'members-grid', 'single-parallel'][(doc_id % 4 + 1)::INT] AS route FROM documents WHERE doc_id % 4 < 3",
+    "gzip_named": f"""WITH {BLOBS}, named AS (SELECT *, CASE WHEN stream_id % 5 > 0 THEN 'doc-' || stream_id || '.txt' END AS name FROM blobs)
+      SELECT stream_id, name, CASE WHEN stream_id % 7 > 0 THEN stream_id * 86461 ELSE 0 END AS mtime, 10 + coalesce(length(name) + 1, 0) AS header_bytes, octet_length(raw) AS isize FROM named""",
+    "gzip_listing_detail": f"""WITH {CRC} SELECT stream_id, 'defla' AS method, printf('%08x', crc) AS crc,
+      CASE WHEN stream_id % 7 > 0 AND stream_id > 0 THEN strftime(make_timestamp(stream_id * 86461 * 1000000), '%b ') || lpad(day(make_timestamp(stream_id * 86461 * 1000000))::VARCHAR, 2, ' ') || strftime(make_timestamp(stream_id * 86461 * 1000000), ' %H:%M') END AS date,
+      bytes, CASE WHEN stream_id % 5 > 0 THEN 'doc-' || stream_id || '.txt' END AS name FROM sums""",
+    "crc32": f"WITH {CRC} SELECT stream_id, crc AS crc32, bytes FROM sums",
+    "code_lengths": "SELECT doc_id AS stream_id, TRUE AS ok, TRUE AS complete FROM documents",
+    "saved": f"""WITH {CELLS}, p AS (SELECT *, (1 - ours / rival_bytes) * 100 AS percent FROM cells)
+      SELECT corpus_set, file, level, threads, rival, round(percent, 6) AS percent, printf('%7.1f%%', round_even(least(greatest(percent, -99.9), 99.9), 1)) AS told FROM p""",
+    "key_metrics": f"""WITH {LEVELS}
+      SELECT round((min_by(speed, o) FILTER (tool = 'ours' AND fast) / min_by(speed, o) FILTER (tool = 'pigz' AND fast) - 1) * 100, 6) AS speed_vs_pigz,
+        round((min_by(size, o) FILTER (tool = 'ours' AND level = 9) / min_by(size, o) FILTER (tool = 'pigz' AND level = 9) - 1) * 100, 6) AS size_vs_pigz,
+        max(speed) FILTER (tool = 'ours') AS best_speed, min_by(source, {{'a': -speed, 'b': source}}) FILTER (tool = 'ours') AS best_source FROM levels""",
+    "goals": f"""WITH {LEVELS}, g AS (
+      SELECT 'packing speed' AS goal, min_by(speed, o) FILTER (tool = 'ours' AND fast) >= min_by(speed, o) FILTER (tool = 'pigz' AND fast) AS passed FROM levels
+      UNION ALL SELECT 'packed size', min_by(size, o) FILTER (tool = 'ours' AND level = 9) <= 1.005 * min_by(size, o) FILTER (tool = 'pigz' AND level = 9) FROM levels
+      UNION ALL SELECT 'smallest size', min_by(size, o) FILTER (tool = 'ours' AND level = 11) <= min_by(size, o) FILTER (tool = 'gzip' AND level = 11) FROM levels
+      UNION ALL SELECT 'unpacking speed', min_by(speed, o) FILTER (tool = 'ours' AND source = 'ours') >= 300 FROM levels)
+      SELECT * FROM g WHERE passed IS NOT NULL""",
+    "single_member_goals": f"""WITH {RESULTS}, t AS (SELECT (threads + 10 * level)::INT AS threads, max(speed) FILTER (tool = 'ours' AND level <> 3) AS a, max(speed) FILTER (tool = 'rapidgzip') AS b FROM results WHERE data_type = 'R' GROUP BY 1)
+      SELECT threads, a / b >= 0.99 AS passed FROM t WHERE a IS NOT NULL AND b > 0""",
+    "reconcile": "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS outcomes_left, CASE WHEN o_orderkey % 6 > 0 AND o_orderkey % 7 + o_orderkey % 11 + o_orderkey % 13 + o_orderkey % 3 + (o_orderkey % 5 = 0)::INT > 0 THEN 0 END AS positions_left FROM orders",
+    "lock_waits": f"""WITH {SPANS} SELECT CASE WHEN tid % 3 > 0 THEN 'lock-' || tid % 20 ELSE '<unknown>' END AS lock, count(*) AS n, sum("end" - start)::BIGINT AS total, max("end" - start) AS most FROM spans WHERE name = 'view' GROUP BY 1""",
+    "alloc_sites": "SELECT event_type AS site, count(*) AS n, sum(CASE WHEN event_id % 4 > 0 THEN event_id % 4096 ELSE 0 END)::BIGINT AS bytes FROM events GROUP BY 1",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import labels
-from siltworks.operators import bytestats, codec, deflate, lz, measure, seek, trace
+from siltworks.operators import bytestats, codec, deflate, lz, marked, measure, seek, trace
 from siltworks.plans import inputs
 from siltworks.sources.blobs import complete_set, table_blobs
 
@@ -491,4 +491,112 @@ def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("stream_id", labels.human_bytes(F.col("bytes")).alias("human"), labels.format_by_extension(F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ("gz", "zz", "zip", "tgz", "txt"))), (F.col("stream_id") % 5 + 1).cast("int")))).alias("format"))
 
 
+def marked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as marked members of 1 KiB, listed without inflating them."""
+    return marked.blocks(marked.compress(table_blobs(spark, sf_dir), 1024)).select("stream_id", "block", "isize", "output_offset", "error")
+
+
+def marked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked members are gzip members like others."""
+    back = codec.decompress(marked.compress(table_blobs(spark, sf_dir), 1024))
+    return back.select("stream_id", "members", F.octet_length("raw").cast("long").alias("bytes"), F.sha2("raw", 256).alias("sha256"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four forms by their id: marked members, two members, one member, not packed."""
+    b, p = table_blobs(spark, sf_dir), _packed(spark, sf_dir)
+    form = F.col("stream_id") % 4
+    marks = marked.compress(b.where(form == 0), 1024)
+    twice = p.where(form == 1).select("stream_id", F.concat("packed", "packed").alias("packed"))
+    return marks.union(twice).union(p.where(form == 2)).union(b.where(form == 3).select("stream_id", F.col("raw").alias("packed")))
+
+
+def gzip_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers tell; packed data may hold the magic bytes by chance, so one member or more aren't told apart here."""
+    s = marked.structure(_mixed(spark, sf_dir))
+    return s.select("stream_id", F.when(F.col("kind").isin("multi-member", "single-member"), "gzip").otherwise(F.col("kind")).alias("kind"))
+
+
+def output_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked.output_estimate(_mixed(spark, sf_dir).where(F.col("stream_id") % 4 < 3))
+
+
+def mixed_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.route(_mixed(spark, sf_dir).where(F.col("stream_id") % 4 < 3), 4)
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a name and a time in their headers; every fifth has no name, every seventh no time."""
+    b, n = table_blobs(spark, sf_dir), F.col("stream_id")
+    name = F.when(n % 5 > 0, F.concat(F.lit("doc-"), n.cast("string"), F.lit(".txt")))
+    return codec.framed(codec.compress(b, 6, "raw"), b, name, F.when(n % 7 > 0, n * 86_461).otherwise(0))
+
+
+def gzip_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.headers(_named(spark, sf_dir)).select("stream_id", "name", "mtime", "header_bytes", "isize")
+
+
+def gzip_listing_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.listing_detail(_named(spark, sf_dir)).select("stream_id", "method", "crc", "date", "bytes", "name")
+
+
+def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's literal codes are complete: in units of 2^-15 the codes of a block add up to 2^15."""
+    lens = deflate.code_lengths(_packed(spark, sf_dir))
+    kraft = F.aggregate("literals", F.lit(0), lambda a, x: a + F.when(x > 0, (32_768 / F.pow(F.lit(2), x)).cast("int")).otherwise(0))
+    by = lens.select("stream_id", F.col("error").isNull().alias("ok"), F.coalesce(kraft == 32_768, F.col("btype") == "stored").alias("complete"))
+    return by.groupBy("stream_id").agg(F.bool_and("ok").alias("ok"), F.bool_and("complete").alias("complete"))
+
+
+def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.cells(spark, sf_dir)
+    sizes = F.col("rival_bytes"), F.col("ours")
+    return c.select("corpus_set", "file", "level", "threads", "rival", F.round(labels.saved_percent(*sizes), 6).alias("percent"), labels.saved_text(*sizes).alias("told"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with levels 6 and 7 as 11 and 9."""
+    level = F.when(F.col("level") == 6, 11).when(F.col("level") == 7, 9).otherwise(F.col("level"))
+    return inputs.results(spark, sf_dir).withColumn("level", level).withColumn("source", F.when(F.col("data_type") == "A", "ours").otherwise(F.lower("data_type")))
+
+
+def key_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _levels(spark, sf_dir)
+    return measure.key_metrics(r, r, CONFIG)
+
+
+def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _levels(spark, sf_dir)
+    return measure.goals(r, r, CONFIG)
+
+
+def single_member_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = inputs.results(spark, sf_dir).where("data_type = 'R'")
+    error = F.when((F.col("tool") == "ours") & (F.col("level") == 3), "bad")
+    return measure.single_member_goals(r.select((F.col("threads") + 10 * F.col("level")).alias("threads"), "tool", "speed", error.alias("error")))
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs of counters: outcomes that are made to agree in four of five."""
+    o, n = inputs.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    parts = {"miss": n % 7, "too_short": n % 11, "accepted": n % 13, "deferred": n % 3, "processed": n % 50, "skipped": n % 9, "literals": n % 50 - n % 4, "match_bytes": n % 9 + n % 4}
+    facts = o.select(n.alias("run"), *[c.alias(k) for k, c in parts.items()], F.when(n % 6 == 0, 1).otherwise(0).alias("other_attempts"))
+    facts = facts.withColumn("attempts", F.col("miss") + F.col("too_short") + F.col("accepted") + F.col("deferred") + F.when(F.col("run") % 5 == 0, 1).otherwise(0))
+    return measure.reconcile(facts, ("run",))
+
+
+def lock_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as waits for the user's lock; every third names none."""
+    s = inputs.spans(spark, sf_dir).where("name = 'view'")
+    lock = F.when(F.col("tid") % 3 > 0, F.concat(F.lit("lock-"), (F.col("tid") % 20).cast("string")))
+    return trace.lock_waits(s.select(F.lit("lock.wait").alias("name"), "start", "end", F.create_map(F.lit("lock"), lock).alias("args")))
+
+
+def alloc_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as allocations of their type; every fourth doesn't know its bytes."""
+    e = inputs.read(spark, sf_dir, "events")
+    size = F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 4096).cast("string"))
+    return trace.alloc_sites(e.select(F.lit("alloc").alias("name"), F.create_map(F.lit("site"), F.col("event_type"), F.lit("bytes"), size).alias("args")))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_")}

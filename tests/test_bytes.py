@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltworks.functions import labels
-from siltworks.operators import bytestats, codec, deflate, lz, seek
+from siltworks.operators import bytestats, codec, deflate, lz, marked, seek
 from siltworks.sources import blobs as sources
 from siltworks.sources import fixtures
 
@@ -298,3 +298,74 @@ def test_headers_read_long_names_and_comments_whole(spark):
     head = b"\x1f\x8b\x08\x18" + bytes(4) + b"\x00\x03"
     row = codec.headers(packed(spark, [head + name + b"\0" + note + b"\0" + body + bytes(8)])).head()
     assert (len(row.name), len(row.comment), row.header_bytes) == (70_000, 90_000, 10 + 70_001 + 90_001)
+
+
+def field(name: bytes, payload: bytes) -> bytes:
+    return name + len(payload).to_bytes(2, "little") + payload
+
+
+def with_extra(extra: bytes, flag: int = 4, rest: bytes = b"body" + bytes(20)) -> bytes:
+    return b"\x1f\x8b\x08" + bytes([flag]) + bytes(6) + len(extra).to_bytes(2, "little") + extra + rest
+
+
+def test_marked_members_are_listed(spark, raws):
+    files = {r.stream_id: bytes(r.packed) for r in marked.compress(raws, 1000).collect()}
+    assert {i: gzip.decompress(x) for i, x in files.items()} == dict(enumerate(TEXTS))
+    found = marked.blocks(packed(spark, [files[i] for i in range(len(TEXTS))])).collect()
+    for i, t in enumerate(TEXTS):
+        mine = sorted((r for r in found if r.stream_id == i), key=lambda r: r.block)
+        assert [r.isize for r in mine] == [len(t[k : k + 1000]) for k in range(0, max(len(t), 1), 1000)]
+        for r in mine:
+            part = files[i][r.start : r.start + r.length]
+            assert gzip.decompress(part) == t[r.output_offset : r.output_offset + r.isize]
+            assert zlib.decompress(files[i][r.data_start : r.start + r.length - 8], -15) == t[r.output_offset : r.output_offset + r.isize]
+
+
+def test_marks_of_odd_files(spark):
+    one = marked.member(b"abc", 6)
+    named = with_extra(field(b"GZ", (0).to_bytes(4, "little")))
+    short = with_extra(field(b"XX", b"123") + field(b"GZ", (43).to_bytes(2, "little")), rest=bytes(20))  # two bytes: the length less one
+    cases = [one + one[:-1], b"", gzip.compress(b"abc"), named, short, with_extra(field(b"BC", b"12")), with_extra(b"GZ\xff\xff"), None, b"\x1f", b"plain text without magic", one + gzip.compress(b"x")]
+    rows = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in enumerate(cases)], "stream_id long, packed binary")
+    got = marked.blocks(rows).collect()
+    assert {r.stream_id: sum(x.stream_id == r.stream_id for x in got) for r in got if r.error is None} == {0: 1, 4: 1, 10: 1}
+    assert {r.stream_id for r in got if r.error} == {1, 2, 3, 5, 6, 7, 8, 9}
+    kinds = {r.stream_id: (r.kind, r.magics) for r in marked.structure(rows).collect()}
+    assert {i: k for i, (k, _) in kinds.items()} == {
+        0: "marked", 1: "too small", 2: "single-member", 3: "marked", 4: "marked", 5: "marked-standard", 6: "single-member", 7: "too small", 8: "too small", 9: "not gzip", 10: "marked",
+    }
+
+    def magics(x: bytes) -> int:
+        n = at = 0
+        while (at := x.find(b"\x1f\x8b", at)) >= 0:
+            n, at = n + 1, at + 10
+        return n
+
+    assert {i: n for i, (_, n) in kinds.items()} == {i: magics(x or b"") for i, x in enumerate(cases)}
+    size = {r.stream_id: r.bytes for r in marked.output_estimate(rows).collect()}
+    assert (size[0], size[1], size[2], size[7], size[8], size[10]) == (3, 0, 3, 0, 0, 3)
+    routes = {r.stream_id: r.route for r in codec.route(packed(spark, [one, gzip.compress(b"x") * 2, gzip.compress(b"x")]), 1).collect()}
+    assert routes == {0: "marked-parallel", 1: "members-in-order", 2: "single-parallel"}
+
+
+def test_code_lengths_are_those_of_the_tables(spark, raws):
+    p = codec.compress(raws, 6).select("stream_id", "packed")
+    lens = {(r.stream_id, r.block): r for r in deflate.code_lengths(p).collect()}
+    walked = deflate.blocks(p).drop("tokens").collect()
+    assert set(lens) == {(r.stream_id, r.block) for r in walked}
+    for r in walked:
+        mine = lens[r.stream_id, r.block]
+        assert (mine.btype, mine.start_bit, mine.body_bit, mine.end_bit) == (r.btype, r.start_bit, r.start_bit + r.header_bits, r.start_bit + r.header_bits + r.data_bits)
+        assert r.table_fp is None or r.table_fp == deflate.table_hash(tuple(mine.literals), tuple(mine.distances))
+        assert mine.literals is None or sum(2.0**-n for n in mine.literals if n) == 1
+    assert deflate.code_lengths(packed(spark, [b"not gzip"])).head().error
+    assert {r.error for r in deflate.code_lengths(spark.createDataFrame([(0, bytearray(gzip.compress(b"", 0)))], "stream_id long, packed binary")).collect()} == {None}
+
+
+def test_listing_detail_and_names(spark):
+    blobs = spark.createDataFrame([(0, bytearray(b"abc"), "a.txt", 1_709_164_859), (1, bytearray(b""), None, 0)], "stream_id long, raw binary, name string, mtime long")
+    files = codec.framed(codec.compress(blobs, 6, "raw"), blobs, F.col("name"), F.col("mtime"))
+    assert {gzip.decompress(bytes(r.packed)) for r in files.collect()} == {b"abc", b""}
+    a, b = (tuple(r) for r in codec.listing_detail(files).orderBy("stream_id").collect())
+    assert a == (0, "defla", f"{zlib.crc32(b'abc'):08x}", "Feb 29 00:00", len(files.where("stream_id = 0").head().packed), 3, -99.9, "a.txt")
+    assert (b[2], b[3], b[5], b[6], b[7]) == ("00000000", None, 0, 0.0, None)

@@ -185,3 +185,26 @@ def test_the_parent_is_the_innermost_open_span(spark):
     out = trace.pair_spans(e)
     assert not _gathers(out)
     assert {(r.name, r.parent, r.depth) for r in out.collect()} == {("a", "<root>", 1), ("b", "open", 2), ("c", "b", 3), ("d", "open", 2)}
+
+
+def test_key_metrics_goals_and_counters(spark):
+    from siltworks.operators import measure, trace
+
+    empty = spark.createDataFrame([], "tool string, level int, threads int, speed double, size long, source string")
+    assert tuple(measure.key_metrics(empty, empty, ("level", "threads")).head()) == (None,) * 4
+    assert measure.goals(empty, empty, ("level", "threads")).count() == 0
+    rows = spark.createDataFrame(
+        [("ours", 1, 1, 9.0, 1, "ours"), ("ours", 1, 2, 200.0, 100, "ours"), ("ours", 1, 4, 900.0, 100, "ours"), ("pigz", 1, 2, 100.0, 90, "pigz"), ("ours", 9, 1, 5.0, 1006, "gzip"), ("pigz", 9, 1, 5.0, 1000, "gzip")],
+        empty.schema,
+    )
+    assert tuple(measure.key_metrics(rows, rows, ("level", "threads")).head()) == (100.0, 0.6, 900.0, "ours")
+    assert {tuple(r) for r in measure.goals(rows, rows, ("level", "threads")).collect()} == {("packing speed", True), ("packed size", False), ("unpacking speed", False)}
+    single = spark.createDataFrame([(1, "ours", 99.0, None), (1, "rapidgzip", 100.0, None), (2, "ours", 98.0, None), (2, "rapidgzip", 100.0, None), (3, "ours", 1.0, "bad"), (3, "rapidgzip", 1.0, None)], "threads int, tool string, speed double, error string")
+    assert {tuple(r) for r in measure.single_member_goals(single).collect()} == {(1, True), (2, False)}
+    names = "run long, attempts long, miss long, too_short long, accepted long, deferred long, other_attempts long, processed long, skipped long, literals long, match_bytes long"
+    counted = spark.createDataFrame([(1, 10, 1, 2, 3, 4, 0, 5, 6, 4, 7), (2, 11, 1, 2, 3, 4, 0, 5, 6, 4, 6), (3, 10, 1, 2, 3, 4, 1, 5, 6, 0, 0), (4, 0, 0, 0, 0, 0, 0, 5, 0, 0, 0)], names)
+    assert {tuple(r) for r in measure.reconcile(counted, ("run",)).collect()} == {(1, 0, 0), (2, 1, 1), (3, 0, None), (4, 0, None)}
+    spans = spark.createDataFrame([("lock.wait", 0, 5, {"lock": "a"}), ("lock.wait", 2, 3, {}), ("lock.wait", 7, 8, None), ("lock.held", 0, 9, {"lock": "a"})], "name string, start long, end long, args map<string,string>")
+    assert {tuple(r) for r in trace.lock_waits(spans).collect()} == {("a", 1, 5, 5), ("<unknown>", 2, 2, 1)}
+    instants = spark.createDataFrame([("alloc", {"site": "s", "bytes": "7"}), ("alloc", {"site": "s", "bytes": "x"}), ("alloc", None), ("free", {"site": "s", "bytes": "9"})], "name string, args map<string,string>")
+    assert {tuple(r) for r in trace.alloc_sites(instants).collect()} == {("s", 2, 7), ("<unknown>", 1, 0)}
