@@ -86,15 +86,17 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
 def links(items: DataFrame, link: Linker, block: int = BLOCK, lean: bool = True) -> DataFrame:
     """Rows (id, root, n) by item and unit: n is the weight of the items newly linked to it, root an item it is connected to.
 
-    ``items``: id long (unique), weight long, payload binary, codes array<long> with the item's bucket in each table.
+    ``items``: id long (unique), weight long, payload binary, codes array of integers with the item's bucket in each table.
     Summing n by id gives each item's links; the edges (id, root) connect what the links connect. ``lean``: find the
     buckets that matter by their ids first and join the payloads to these only; for buckets of which few are shared.
     """
     bucket = F.posexplode("codes").alias("t", "code")
+    early = F.slice("codes", F.lit(1), F.col("t"))  # a row carries the codes of the tables before its own
     if lean:
-        dealt = deal(items.select("id", bucket), ["t", "code"], block).join(items, "id")
+        dealt = deal(items.select("id", bucket), ["t", "code"], block).join(items, "id").withColumn("codes", early)
     else:
-        dealt = deal(items.select("id", "weight", "payload", "codes", bucket), ["t", "code"], block, False)
+        each = items.select("id", "weight", "payload", "codes", bucket).withColumn("codes", early)
+        dealt = deal(each, ["t", "code"], block, False)
     unit = ["t", "code", "bi", "bj"]
     dealt = dealt.repartition(*unit).sortWithinPartitions(*unit)
 
@@ -107,7 +109,8 @@ def links(items: DataFrame, link: Linker, block: int = BLOCK, lean: bool = True)
             if not len(a) or not len(b):
                 continue
             payload = g["payload"].tolist()
-            i, j = link([payload[k] for k in a], [payload[k] for k in b])
+            first = [payload[k] for k in a]
+            i, j = link(first, first if same else [payload[k] for k in b])
             if same:
                 i, j = (x[i < j] for x in (i, j))
             u, v = a[i], b[j]

@@ -36,7 +36,7 @@ class Params:
 
 def plan(n: int, p: Params) -> tuple[int, int]:
     """Bits of a code and number of tables for n items."""
-    bits = min(40, max(4, math.ceil(math.log2(max(n, 2) / p.per_bucket)))) if n > p.per_bucket else 4
+    bits = min(31, max(4, math.ceil(math.log2(max(n, 2) / p.per_bucket)))) if n > p.per_bucket else 4
     share = (1 - math.acos(p.threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - p.recall) / math.log1p(-share)))
 
@@ -46,16 +46,17 @@ def near_pairs(threshold: float):
 
     def unit(payload: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(x) for x in payload])
-        width = sizes.max()
-        out = np.zeros((len(payload), (width - 1) // payload[0][0]))
-        for k, x in enumerate(payload):
-            v = np.frombuffer(x, np.float32 if x[0] == 4 else np.float64, offset=1).astype(np.float64)
-            v = v / np.abs(v).max()
-            out[k, : len(v)] = v / np.sqrt((v * v).sum())
+        width = int(sizes.max())
+        # zero bytes at the end of a shorter vector are zeros
+        raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in payload), np.uint8).reshape(len(payload), width)
+        out = np.ascontiguousarray(raw[:, 1:]).view(np.float32 if payload[0][0] == 4 else np.float64).astype(np.float64)
+        out /= np.abs(out).max(axis=1, keepdims=True)
+        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out, sizes
 
     def link(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        (x, nx), (y, ny) = unit(a), unit(b)
+        x, nx = unit(a)
+        y, ny = (x, nx) if a is b else unit(b)
         width = max(x.shape[1], y.shape[1])
         x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
         return np.nonzero((x @ y.T >= threshold) & (nx[:, None] == ny[None, :]))
@@ -97,11 +98,11 @@ def coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng((seed, len(v))).standard_normal((len(v), bits * tables))
                 signs = ((v.astype(np.float64) / np.abs(v).max()) @ planes[len(v)] >= 0).reshape(tables, bits)
-                codes.append(signs @ (1 << np.arange(bits, dtype=np.int64)))
+                codes.append((signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32))
                 payload.append(mark + v.tobytes())
             yield pd.DataFrame({"id": batch["id"], "weight": batch["weight"], "payload": payload, "codes": codes})
 
-    schema = "id long, weight long, payload binary, codes array<long>"
+    schema = "id long, weight long, payload binary, codes array<int>"
     return classes.select("id", "weight", "embedding").mapInPandas(code, schema)
 
 
