@@ -237,7 +237,7 @@ def route(packed: DataFrame, threads: int) -> DataFrame:
 
     kind = members(packed)
     facts = kind.groupBy("stream_id").agg(F.count("*").alias("members"))
-    marked = F.coalesce(mark(F.col("packed")) == "marked", F.lit(False))
+    marked = F.coalesce(mark(F.col("packed"), lengths=False) == "marked", F.lit(False))
     body = F.conv(F.hex(F.substring("packed", 11, 1)), 16, 10).cast("int")
     stored = (F.hex(F.substring("packed", 4, 1)) == "00") & (F.floor(body / 2) % 4 == 0)
     n = F.octet_length("packed")

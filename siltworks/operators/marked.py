@@ -24,7 +24,10 @@ HEAD = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff"
 
 
 def marks(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """(payload of each subfield of two or four bytes, byte after the extra field) of the member at ``at``; None without a whole extra field."""
+    """(payload of each subfield, byte after the extra field) of the member at ``at``; None without a whole extra field.
+
+    The first subfield of a name with two or four bytes, a length, counts; one without such is there with no payload.
+    """
     if data[at : at + 2] != b"\x1f\x8b" or at + 12 > len(data) or not data[at + 3] & 4:
         return None
     here = at + 12
@@ -34,8 +37,8 @@ def marks(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
     found: dict[bytes, bytes] = {}
     while here + 4 <= end:
         size = int.from_bytes(data[here + 2 : here + 4], "little")
-        if size in (2, 4) and here + 4 + size <= end:
-            found.setdefault(data[here : here + 2], data[here + 4 : here + 4 + size])
+        name, fits = data[here : here + 2], size in (2, 4) and here + 4 + size <= end
+        found[name] = found.get(name) or (data[here + 4 : here + 4 + size] if fits else b"")
         here += 4 + size
     return found, end
 
@@ -80,14 +83,15 @@ def blocks(packed: DataFrame) -> DataFrame:
     return packed.select("stream_id", "packed").mapInPandas(listed, schema)
 
 
-def mark(packed: Column) -> Column:
-    """marked or marked-standard by the extra field of the first header, else null."""
+def mark(packed: Column, lengths: bool = True) -> Column:
+    """marked or marked-standard by the extra field of the first header, else null; without ``lengths`` a subfield that holds none counts too."""
 
     @F.pandas_udf("string")
     def seen(head: pd.Series) -> pd.Series:
         def one(x: bytes | None) -> str | None:
             found = (marks(bytes(x), 0) or ({}, 0))[0] if x is not None and len(x) >= 18 else {}
-            return "marked" if OWN in found else "marked-standard" if STANDARD in found else None
+            names = {k for k, told in found.items() if told or not lengths}
+            return "marked" if OWN in names else "marked-standard" if STANDARD in names else None
 
         return head.map(one)
 
