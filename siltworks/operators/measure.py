@@ -244,8 +244,8 @@ def ladder(sizes: DataFrame, key: str = "file") -> DataFrame:
 
 
 def noise_bound(size: Column, slack: int = 0) -> Column:
-    """The most that incompressible input may grow to: five bytes a stored block, and the frame."""
-    return size + F.ceil(size / 65_535) * 5 + 18 + slack
+    """The most that incompressible input may grow to: five bytes a stored block, of which an empty input has one too, and the frame."""
+    return size + F.greatest(F.ceil(size / 65_535), F.lit(1)) * 5 + 18 + slack
 
 
 def cliffs(ratios: DataFrame, axes: Sequence[str], jump: float = 0.02, near: float = 0.02) -> DataFrame:

@@ -369,3 +369,15 @@ def test_listing_detail_and_names(spark):
     a, b = (tuple(r) for r in codec.listing_detail(files).orderBy("stream_id").collect())
     assert a == (0, "defla", f"{zlib.crc32(b'abc'):08x}", "Feb 29 00:00", len(files.where("stream_id = 0").head().packed), 3, -99.9, "a.txt")
     assert (b[2], b[3], b[5], b[6], b[7]) == ("00000000", None, 0, 0.0, None)
+
+
+@pytest.mark.parametrize("size", [0, 1, 65_535, 65_536, 122_698, 400_000])
+def test_stored_blobs_have_full_blocks(spark, size):
+    from siltworks.operators import measure
+
+    raw = R.randbytes(size)
+    for container in ("gzip", "zlib", "raw"):
+        x = codec.pack(raw, 0, container)
+        assert codec.unpack(x, container) == (raw, 1)
+        assert len(x) == size + 5 * max(1, -(-size // 65_535)) + {"gzip": 18, "zlib": 6, "raw": 0}[container]
+    assert spark.range(1).select((F.lit(len(codec.pack(raw, 0))) <= measure.noise_bound(F.lit(size))).alias("holds")).head().holds
