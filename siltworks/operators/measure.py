@@ -55,10 +55,16 @@ def dedup(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFram
 
 
 def _stats(times: Column) -> tuple[Column, Column, Column]:
-    """(count, mean, sample standard deviation) of an array of doubles."""
+    """(count, mean, sample standard deviation) of an array of doubles; the squares are summed around the running mean (Welford), as SQL's stddev_samp does."""
     n = F.size(times)
     mean = F.aggregate(times, F.lit(0.0), lambda a, x: a + x) / n
-    squares = F.aggregate(times, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+
+    def step(a: Column, x: Column) -> Column:
+        moved = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), moved.alias("mean"), (a["squares"] + (x - moved) * (x - a["mean"])).alias("squares"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    squares = F.aggregate(times, start, step, lambda a: a["squares"])
     return n, mean, F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(0.0)
 
 

@@ -208,3 +208,13 @@ def test_key_metrics_goals_and_counters(spark):
     assert {tuple(r) for r in trace.lock_waits(spans).collect()} == {("a", 1, 5, 5), ("<unknown>", 2, 2, 1)}
     instants = spark.createDataFrame([("alloc", {"site": "s", "bytes": "7"}), ("alloc", {"site": "s", "bytes": "x"}), ("alloc", None), ("free", {"site": "s", "bytes": "9"})], "name string, args map<string,string>")
     assert {tuple(r) for r in trace.alloc_sites(instants).collect()} == {("s", 2, 7), ("<unknown>", 1, 0)}
+
+
+def test_deviation_on_the_limit_is_that_of_sql(spark):
+    """A deviation of a tenth of the median, but for the last bit of the running sums."""
+    import duckdb
+
+    times = [14.0, 14.0, 16.0, 17.0]
+    row = measure.robust_stats(spark.createDataFrame([(1, times)], "run long, times array<double>")).head()
+    sd = duckdb.connect().execute("SELECT list_aggregate(?::DOUBLE[], 'stddev_samp')", [times]).fetchone()[0]
+    assert row.sd == sd and row.stable == (sd / 15 <= 0.1)
