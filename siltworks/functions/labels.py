@@ -134,9 +134,9 @@ def saved_percent(before: Column, after: Column) -> Column:
 
 
 def saved_text(before: Column, after: Column) -> Column:
-    """The saved percentage between -99.9 and 99.9, seven characters wide."""
+    """The saved percentage between -99.9 and 99.9, seven characters wide; a loss that rounds to nothing keeps its sign."""
     held = F.greatest(F.least(saved_percent(before, after), F.lit(99.9)), F.lit(-99.9))
-    return F.format_string("%7.1f%%", F.bround(held, 1))
+    return F.format_string("%7.1f%%", F.when(held < 0, -F.bround(-held, 1)).otherwise(F.bround(held, 1)))
 
 
 def bar(value: Column, most: float, width: int) -> Column:

@@ -218,3 +218,11 @@ def test_deviation_on_the_limit_is_that_of_sql(spark):
     row = measure.robust_stats(spark.createDataFrame([(1, times)], "run long, times array<double>")).head()
     sd = duckdb.connect().execute("SELECT list_aggregate(?::DOUBLE[], 'stddev_samp')", [times]).fetchone()[0]
     assert row.sd == sd and row.stable == (sd / 15 <= 0.1)
+
+
+def test_small_losses_keep_their_sign(spark):
+    from siltworks.functions import labels
+
+    df = spark.createDataFrame([(10_000, 10_003), (10_000, 10_000), (10_000, 9_997), (1000, 1001)], "a long, b long")
+    said = [r.t for r in df.select(labels.saved_text(F.col("a"), F.col("b")).alias("t")).collect()]
+    assert said == [f"{x:7.1f}%" for x in (-0.03, 0.0, 0.03, -0.1)]
