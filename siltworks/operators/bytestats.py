@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.labels import backend, buffer_size, chunk_size, entropy_label, thread_count
+from siltworks.operators.batches import id_type, slices
 
 SAMPLE = 8192
 
@@ -21,15 +22,15 @@ def byte_hist(blobs: DataFrame, sample: int | None = None) -> DataFrame:
     costs several times as much.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = [np.bincount(np.frombuffer(bytes(raw), np.uint8), minlength=256) for raw in batch["raw"]]
-            if counts:
-                row, byte = np.nonzero(counts)
-                yield pd.DataFrame({"stream_id": batch["stream_id"].to_numpy()[row], "byte": byte.astype(np.int32), "n": np.array(counts)[row, byte]})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "raw"):
+            counts = np.array([np.bincount(np.frombuffer(x.as_py() or b"", np.uint8), minlength=256) for x in part.column("raw")])
+            row, byte = np.nonzero(counts)
+            columns = [part.column("stream_id").take(pa.array(row)), pa.array(byte.astype(np.int32)), pa.array(counts[row, byte].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["stream_id", "byte", "n"])
 
     raw = blobs.select("stream_id", F.substring("raw", 1, sample).alias("raw") if sample else F.col("raw"))
-    return raw.mapInPandas(counted, f"stream_id {raw.schema['stream_id'].dataType.simpleString()}, byte int, n long")
+    return raw.mapInArrow(counted, f"stream_id {id_type(raw)}, byte int, n long")
 
 
 def entropy(blobs: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.labels import DISTANCE_ENDS, LENGTH_ENDS, bar, bucket, cover_label, entropy_label, outlook, verdict
+from siltworks.operators.batches import id_type, slices
 from siltworks.operators.bytestats import content_type, entropy
 
 WINDOW, LONGEST = 32 * 1024, 258
@@ -44,13 +45,14 @@ def matches_of(raw: bytes) -> list[tuple[int, int, int]]:
 def lz_matches(blobs: DataFrame) -> DataFrame:
     """(stream_id, pos, length, distance) of every match."""
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, *m) for i, raw in zip(batch["stream_id"], batch["raw"], strict=True) for m in matches_of(bytes(raw))]
-            yield pd.DataFrame(rows, columns=["stream_id", "pos", "length", "distance"])
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "raw", most=1 << 18):
+            per_row = [matches_of(x.as_py() or b"") for x in part.column("raw")]
+            rows = np.array([m for ms in per_row for m in ms], np.int64).reshape(-1, 3)
+            ids = part.column("stream_id").take(pa.array(np.repeat(np.arange(len(per_row)), [len(ms) for ms in per_row])))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in rows.T)], names=["stream_id", "pos", "length", "distance"])
 
-    id_type = blobs.schema["stream_id"].dataType.simpleString()
-    return blobs.select("stream_id", "raw").mapInPandas(found, f"stream_id {id_type}, pos long, length long, distance long")
+    return blobs.select("stream_id", "raw").mapInArrow(found, f"stream_id {id_type(blobs)}, pos long, length long, distance long")
 
 
 def summary(blobs: DataFrame) -> DataFrame:

@@ -6,47 +6,63 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltworks.operators.batches import SLICE, id_type, slices
+
 INTERVAL = 4 << 20
+#: Bytes before it that a place in a stream may refer to.
+HISTORY = 32 << 10
 
 
 def index_build(packed: DataFrame, interval: int = INTERVAL) -> DataFrame:
     """(stream_id, point, input_at, output_at, window, error): where the decoder may start anew; the first is the start of the data.
 
-    A checkpoint is a place where a block ends on a whole byte, at least ``interval`` bytes of output after the one before, with the
-    32 KiB before it. Streams of several members are refused, as the error says.
+    A checkpoint is a place where a block ends on a whole byte, at least ``interval`` bytes of output after the one before. Its window is the
+    output since that one, the last 32 KiB of it at most: the windows up to a checkpoint, put together, end in the 32 KiB that its decoder
+    needs (``histories``), and all of them hold no more than the output once. Streams of several members are refused, as the error says.
     """
-    from siltworks.operators.deflate import header_end, walk
-
-    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, data in zip(batch["stream_id"], batch["packed"], strict=True):
-                data = bytes(data)
-                try:
-                    body = header_end(data, 0)
-                    raw = zlib.decompress(data, 31)
-                    n, out, last = 0, 0, None
-                    found = [(i, 0, body, 0, b"", None)]
-                    for start, head, bits, _, final, _, tokens in walk(data, body):
-                        out += sum(abs(t[0]) or 1 for t in tokens)
-                        end = start + head + bits
-                        if not final and end % 8 == 0 and out - found[-1][3] >= interval:
-                            n += 1
-                            found.append((i, n, body + end // 8, out, raw[max(0, out - (32 << 10)) : out], None))
-                        last = body + (end + 7) // 8
-                    if last + 8 != len(data):
-                        raise ValueError("several members")
-                    rows += found
-                except (ValueError, IndexError, zlib.error) as e:
-                    rows.append((i, 0, None, None, None, str(e)))
-            made = pd.DataFrame(rows, columns=["stream_id", "point", "input_at", "output_at", "window", "error"])
-            yield made.astype({"input_at": "Int64", "output_at": "Int64"})
-
-    id_type = packed.schema["stream_id"].dataType.simpleString()
-    return packed.select("stream_id", "packed").mapInPandas(points, f"stream_id {id_type}, point long, input_at long, output_at long, window binary, error string")
+    from siltworks.operators.deflate import header_end, spans_of, walk
+
+    def rows_of(data: bytes) -> Iterator[tuple]:
+        body = header_end(data, 0)
+        raw = zlib.decompress(data, 31)
+        n = out = reached = 0
+        yield 0, body, 0, b"", None
+        for start, head, bits, _, final, _, tokens in walk(data, body):
+            out += int(spans_of(tokens).sum())
+            end = start + head + bits
+            if not final and end % 8 == 0 and out - reached >= interval:
+                n += 1
+                yield n, body + end // 8, out, raw[max(reached, out - HISTORY) : out], None
+                reached = out
+            last = body + (end + 7) // 8
+        if last + 8 != len(data):
+            raise ValueError("several members")
+
+    def one(data: bytes) -> list[tuple]:
+        try:
+            return list(rows_of(data))
+        except (ValueError, IndexError, zlib.error) as e:
+            return [(0, None, None, None, str(e))]
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        for part in slices(batches, "packed"):
+            ids, rows, held = [], [], 0
+            for k, data in enumerate(part.column("packed")):
+                mine = one(data.as_py() or b"")
+                ids += [k] * len(mine)
+                rows += mine
+                held += sum(len(r[3] or b"") for r in mine)
+                if held >= SLICE or k == part.num_rows - 1:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("stream_id").take(pa.array(ids)), *columns], names=["stream_id", "point", "input_at", "output_at", "window", "error"])
+                    ids, rows, held = [], [], 0
+
+    return packed.select("stream_id", "packed").mapInArrow(points, f"stream_id {id_type(packed)}, point long, input_at long, output_at long, window binary, error string")
 
 
 def as_of(wanted: DataFrame, index: DataFrame) -> DataFrame:
@@ -62,29 +78,37 @@ def as_of(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return found.where("asked is not null").select("asked.*", "p.point", "p.input_at", "p.output_at")
 
 
+def histories(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(stream_id, point, history): the 32 KiB before each checkpoint asked for (stream_id, point, output_at), from the windows that reach into them."""
+    ends = index.where("error is null").select("stream_id", "output_at", "window", F.floor(F.col("output_at") / HISTORY).alias("part"))
+    each = asked.select("stream_id", "point", F.col("output_at").alias("until"), F.explode(F.array(F.floor(F.col("output_at") / HISTORY), F.floor(F.col("output_at") / HISTORY) - 1)).alias("part"))
+    met = each.join(ends, ["stream_id", "part"]).where(F.col("output_at").between(F.col("until") - HISTORY + 1, F.col("until")))
+    joined = met.groupBy("stream_id", "point").agg(F.expr("listagg(window) WITHIN GROUP (ORDER BY output_at)").alias("all"))
+    return joined.select("stream_id", "point", F.expr(f"substring(all, greatest(octet_length(all) - {HISTORY}, 0) + 1)").alias("history"))
+
+
 def index_seek(packed: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
     """(stream_id, offset, part, error): ``size`` bytes from each offset on, decoded from the checkpoint before it."""
-    found = as_of(wanted, index).join(index.select("stream_id", "point", "window"), ["stream_id", "point"], "left").join(packed.select("stream_id", "packed"), "stream_id", "left")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.packed is None or pd.isna(r.input_at):
-                    rows.append((r.stream_id, r.offset, None, "no checkpoint at or before the offset"))
-                    continue
-                extra = {"zdict": bytes(r.window)} if len(r.window) else {}
-                d = zlib.decompressobj(-15, **extra)
-                try:
-                    skip = int(r.offset - r.output_at)
-                    part = d.decompress(bytes(r.packed)[int(r.input_at) :], skip + int(r.size))[skip:]
-                    rows.append((r.stream_id, r.offset, part, None))
-                except zlib.error as e:
-                    rows.append((r.stream_id, r.offset, None, str(e)))
-            yield pd.DataFrame(rows, columns=["stream_id", "offset", "part", "error"])
-
-    id_type = packed.schema["stream_id"].dataType.simpleString()
-    return found.mapInPandas(read, f"stream_id {id_type}, offset long, part binary, error string")
+    found = as_of(wanted, index.drop("window"))
+    before = histories(found.where("output_at > 0").select("stream_id", "point", "output_at").distinct(), index)
+    met = found.join(before, ["stream_id", "point"], "left").join(packed.select("stream_id", "packed"), "stream_id", "left")
+
+    def one(data: bytes | None, offset: int, size: int, at: int | None, out: int, history: bytes | None) -> tuple:
+        if data is None or at is None:
+            return None, "no checkpoint at or before the offset"
+        try:
+            d = zlib.decompressobj(-15, **({"zdict": history} if history else {}))
+            return d.decompress(memoryview(data)[at:], max(1, offset - out + size))[offset - out : offset - out + size], None
+        except zlib.error as e:
+            return None, str(e)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "packed", "history"):
+            plain = [part.column(c).to_pylist() for c in ("packed", "offset", "size", "input_at", "output_at", "history")]
+            text, error = zip(*map(one, *plain), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("stream_id"), part.column("offset").cast(pa.int64()), pa.array(text, pa.binary()), pa.array(error, pa.string())], names=["stream_id", "offset", "part", "error"])
+
+    return met.mapInArrow(read, f"stream_id {id_type(packed)}, offset long, part binary, error string")
 
 
 def check_index(index: DataFrame) -> DataFrame:

@@ -109,12 +109,13 @@ def analysis_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.analysis_card(table_blobs(spark, sf_dir))
 
 
-def _walked(spark: SparkSession, sf_dir: str, level: int = 6, table: str = "documents") -> DataFrame:
-    return deflate.blocks(_packed(spark, sf_dir, table, level))
+def _walked(spark: SparkSession, sf_dir: str, level: int = 6, table: str = "documents", counts: bool = True) -> DataFrame:
+    """Blocks with counts in place of the tokens, where these aren't asked for."""
+    return deflate.blocks(_packed(spark, sf_dir, table, level), counts)
 
 
 def walk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walked(spark, sf_dir).drop("tokens")
+    return _walked(spark, sf_dir).drop("file_bytes", *deflate.COUNTS)
 
 
 def block_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +123,11 @@ def block_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deflate.stream_fingerprints(_walked(spark, sf_dir), _packed(spark, sf_dir))
+    return deflate.stream_fingerprints(_walked(spark, sf_dir))
 
 
 def _token_sizes(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    t = deflate.tokens(_walked(spark, sf_dir, table=table))
+    t = deflate.tokens(_walked(spark, sf_dir, table=table, counts=False))
     return t.groupBy("stream_id").agg(F.sum("length").alias("bytes"), F.max(F.col("pos") + F.col("length")).alias("end"))
 
 
@@ -142,15 +143,15 @@ def token_sizes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deflate.match_histograms(deflate.tokens(_walked(spark, sf_dir)))
+    return deflate.match_histograms(deflate.tokens(_walked(spark, sf_dir, counts=False)))
 
 
 def diverge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deflate.diverge(deflate.tokens(_walked(spark, sf_dir, 1)), deflate.tokens(_walked(spark, sf_dir, 9)))
+    return deflate.diverge_packed(*(_packed(spark, sf_dir, level=n) for n in (1, 9)))
 
 
 def fingerprint_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (deflate.stream_fingerprints(_walked(spark, sf_dir, n), _packed(spark, sf_dir, level=n)) for n in (1, 9))
+    a, b = (deflate.stream_fingerprints(_walked(spark, sf_dir, n)) for n in (1, 9))
     return deflate.fingerprint_diff(a, b)
 
 
@@ -168,9 +169,9 @@ def table_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both_packings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the bit account of levels 1 and 9, the file sizes of both)."""
-    a, b = (_walked(spark, sf_dir, n) for n in (1, 9))
-    x, y = (_packed(spark, sf_dir, level=n).select("stream_id", F.octet_length("packed").cast("long").alias("file_bytes")) for n in (1, 9))
-    return deflate.bit_account(a, b, x, y), x, y
+    a, b = (_packed(spark, sf_dir, level=n) for n in (1, 9))
+    x, y = (p.select("stream_id", F.octet_length("packed").cast("long").alias("file_bytes")) for p in (a, b))
+    return deflate.bit_account_packed(a, b), x, y
 
 
 def bit_account(spark: SparkSession, sf_dir: str) -> DataFrame:

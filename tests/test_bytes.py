@@ -381,3 +381,37 @@ def test_stored_blobs_have_full_blocks(spark, size):
         assert codec.unpack(x, container) == (raw, 1)
         assert len(x) == size + 5 * max(1, -(-size // 65_535)) + {"gzip": 18, "zlib": 6, "raw": 0}[container]
     assert spark.range(1).select((F.lit(len(codec.pack(raw, 0))) <= measure.noise_bound(F.lit(size))).alias("holds")).head().holds
+
+
+def test_packings_are_compared_where_they_meet(spark):
+    """The same as by tokens as rows, which never leave the walk here: over several blocks, stored ones, members, bad blobs and missing ones."""
+    long = " ".join(f"{k * 7919 % 10007} word" for k in range(9000)).encode()
+    raws = [*TEXTS, long, R.randbytes(100_000), long[:70_000] + R.randbytes(70_000) + bytes(70_000)]
+    ours, theirs = ([gzip.compress(x, n, mtime=0) for x in raws] for n in (1, 9))
+    ours += [ours[6] + ours[4], gzip.compress(long, 0, mtime=0), ours[6][:-4000], b"junk", ours[4]]
+    theirs += [theirs[6] + theirs[4], theirs[6], theirs[6], theirs[4], b""]
+    a, b = packed(spark, ours), packed(spark, theirs).where("stream_id <> 3")
+    size = lambda p: p.select("stream_id", F.octet_length("packed").cast("long").alias("file_bytes"))
+    got, want = deflate.diverge_packed(a, b), deflate.diverge(deflate.tokens(deflate.blocks(a)), deflate.tokens(deflate.blocks(b)))
+    assert sorted(got.collect(), key=str) == sorted(want.select(got.columns).collect(), key=str) and got.columns == want.columns
+    got, want = deflate.bit_account_packed(a, b), deflate.bit_account(deflate.blocks(a), deflate.blocks(b), size(a), size(b))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str) and got.columns == want.columns
+
+
+def exchanges(df):
+    """What moves between tasks: the columns of each exchange of the plan."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange hashpartitioning", plan)), plan
+
+
+def test_queries_over_walks_move_no_tokens(spark, tmp_path):
+    from siltworks.plans import queries
+
+    texts = ["", "short", " ".join(f"{k * 7919 % 10007} word" for k in range(3000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for q in (queries.diverge, queries.bit_account, queries.bit_residual):
+        assert "pos#" not in exchanges(q(spark, str(tmp_path)))[1]
+    assert "Window" not in exchanges(queries.token_sizes_documents(spark, str(tmp_path)))[1]
+    assert {(r.residual_ours, r.residual_theirs) for r in queries.bit_residual(spark, str(tmp_path)).collect()} == {(0, 0)}
