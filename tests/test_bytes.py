@@ -433,3 +433,11 @@ def test_slices_are_bounded():
     parts = list(batches.slices([batch, batch.slice(0, 0), batch.slice(3)], "raw", most=100))
     assert [x for p in parts for x in p.column("raw").to_pylist()] == raws + raws[3:]
     assert all(p.num_rows == 1 or sum(len(x or b"") for x in p.column("raw").to_pylist()) <= 100 for p in parts)
+
+
+def test_counts_of_the_walk_are_those_of_its_tokens(spark, raws):
+    p = codec.compress(raws, 6).select("stream_id", "packed").union(packed(spark, [b"x" * 20]).select(F.lit(99).cast("long"), "packed"))
+    fields = ["stream_id", "block", "error", *deflate.COUNTS]
+    got, want = (sorted(map(str, deflate.counted(w).where("error is null").select(fields).collect())) for w in (deflate.blocks(p, counts=True), deflate.blocks(p)))
+    assert got == want and len(got) >= len(TEXTS)
+    assert "tokens" not in deflate.blocks(p, counts=True).columns
