@@ -441,3 +441,26 @@ def test_counts_of_the_walk_are_those_of_its_tokens(spark, raws):
     got, want = (sorted(map(str, deflate.counted(w).where("error is null").select(fields).collect())) for w in (deflate.blocks(p, counts=True), deflate.blocks(p)))
     assert got == want and len(got) >= len(TEXTS)
     assert "tokens" not in deflate.blocks(p, counts=True).columns
+
+
+#: Python's step in a query: its input (raw or packed), and the operator that has the step.
+STEPS = {
+    "block_census": ("packed", lambda p: deflate.blocks(p, counts=True)),
+    # steps
+}
+
+
+@pytest.mark.parametrize("query", STEPS)
+def test_python_hands_on_a_slice_at_a_time(raws, monkeypatch, query):
+    """A batch of blobs comes out in parts of bounded size: what a worker holds doesn't follow the batch."""
+    import pyarrow as pa
+
+    (column, step), found, plain = STEPS[query], [], type(raws).mapInArrow
+    monkeypatch.setattr(type(raws), "mapInArrow", lambda self, f, schema: found.append(f) or plain(self, f, schema))
+    step(raws.select("stream_id", F.col("raw").alias(column)))
+    random_text = [bytes(R.choices(range(64, 128), k=1 << 16)) for _ in range(48)]
+    made = random_text if column == "raw" else [zlib.compress(x) if query.startswith("zlib") else gzip.compress(x) for x in random_text]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(48)), pa.array(made, pa.binary())], names=["stream_id", column])
+    parts = list(found[0](iter([batch])))
+    assert len(parts) >= 3 and max(p.nbytes for p in parts) < 6 << 20
+    assert pa.chunked_array([p.column("stream_id") for p in parts]).unique().to_pylist() == list(range(48))
