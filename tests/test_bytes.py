@@ -446,6 +446,7 @@ def test_counts_of_the_walk_are_those_of_its_tokens(spark, raws):
 #: Python's step in a query: its input (raw or packed), and the operator that has the step.
 STEPS = {
     "block_census": ("packed", lambda p: deflate.blocks(p, counts=True)),
+    "lz_summary": ("raw", lz.lz_matches),
     # steps
 }
 
