@@ -447,6 +447,7 @@ def test_counts_of_the_walk_are_those_of_its_tokens(spark, raws):
 STEPS = {
     "block_census": ("packed", lambda p: deflate.blocks(p, counts=True)),
     "lz_summary": ("raw", lz.lz_matches),
+    "fingerprint_diff": ("raw", lambda b: codec.compress(b, 9)),
     # steps
 }
 
