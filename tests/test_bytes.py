@@ -448,6 +448,7 @@ STEPS = {
     "block_census": ("packed", lambda p: deflate.blocks(p, counts=True)),
     "lz_summary": ("raw", lz.lz_matches),
     "fingerprint_diff": ("raw", lambda b: codec.compress(b, 9)),
+    "analysis_card": ("raw", lambda b: bytestats.byte_hist(b, bytestats.SAMPLE)),
     # steps
 }
 
