@@ -449,6 +449,7 @@ STEPS = {
     "lz_summary": ("raw", lz.lz_matches),
     "fingerprint_diff": ("raw", lambda b: codec.compress(b, 9)),
     "analysis_card": ("raw", lambda b: bytestats.byte_hist(b, bytestats.SAMPLE)),
+    "token_sizes_documents": ("packed", deflate.blocks),
     # steps
 }
 
