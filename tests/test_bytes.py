@@ -450,6 +450,7 @@ STEPS = {
     "fingerprint_diff": ("raw", lambda b: codec.compress(b, 9)),
     "analysis_card": ("raw", lambda b: bytestats.byte_hist(b, bytestats.SAMPLE)),
     "token_sizes_documents": ("packed", deflate.blocks),
+    "gzip_route": ("packed", codec.members),
     # steps
 }
 
