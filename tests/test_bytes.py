@@ -451,6 +451,7 @@ STEPS = {
     "analysis_card": ("raw", lambda b: bytestats.byte_hist(b, bytestats.SAMPLE)),
     "token_sizes_documents": ("packed", deflate.blocks),
     "gzip_route": ("packed", codec.members),
+    "dict_chunks": ("raw", lambda b: codec.chunked(b, 1024)),
     # steps
 }
 
