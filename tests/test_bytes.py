@@ -452,6 +452,7 @@ STEPS = {
     "token_sizes_documents": ("packed", deflate.blocks),
     "gzip_route": ("packed", codec.members),
     "dict_chunks": ("raw", lambda b: codec.chunked(b, 1024)),
+    "zlib_round_trip": ("packed", lambda p: codec.decompress(p, "zlib")),
     # steps
 }
 
