@@ -453,6 +453,7 @@ STEPS = {
     "gzip_route": ("packed", codec.members),
     "dict_chunks": ("raw", lambda b: codec.chunked(b, 1024)),
     "zlib_round_trip": ("packed", lambda p: codec.decompress(p, "zlib")),
+    "entropy": ("raw", bytestats.entropy),
     # steps
 }
 
