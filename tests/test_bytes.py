@@ -454,6 +454,7 @@ STEPS = {
     "dict_chunks": ("raw", lambda b: codec.chunked(b, 1024)),
     "zlib_round_trip": ("packed", lambda p: codec.decompress(p, "zlib")),
     "entropy": ("raw", bytestats.entropy),
+    "gzip_listing": ("raw", lambda b: codec.listing(codec.compress(b))),
     # steps
 }
 
