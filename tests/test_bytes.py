@@ -473,3 +473,18 @@ def test_python_hands_on_a_slice_at_a_time(raws, monkeypatch, query):
     parts = list(found[0](iter([batch])))
     assert len(parts) >= 3 and max(p.nbytes for p in parts) < 6 << 20
     assert pa.chunked_array([p.column("stream_id") for p in parts]).unique().to_pylist() == list(range(48))
+
+
+#: Queries that walk and ask for no token.
+WALKS = [
+    "stream_fingerprints",
+    # walks
+]
+
+
+@pytest.mark.parametrize("query", WALKS)
+def test_tokens_never_leave_walks_that_need_none(spark, query):
+    from siltworks.plans import queries
+
+    plan = getattr(queries, query)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "tokens#" not in plan
