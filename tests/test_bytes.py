@@ -455,6 +455,7 @@ STEPS = {
     "zlib_round_trip": ("packed", lambda p: codec.decompress(p, "zlib")),
     "entropy": ("raw", bytestats.entropy),
     "gzip_listing": ("raw", lambda b: codec.listing(codec.compress(b))),
+    "byte_hist": ("raw", bytestats.byte_hist),
     # steps
 }
 
