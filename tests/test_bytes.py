@@ -479,6 +479,7 @@ def test_python_hands_on_a_slice_at_a_time(raws, monkeypatch, query):
 #: Queries that walk and ask for no token.
 WALKS = [
     "stream_fingerprints",
+    "block_spans",
     # walks
 ]
 
