@@ -456,6 +456,7 @@ STEPS = {
     "entropy": ("raw", bytestats.entropy),
     "gzip_listing": ("raw", lambda b: codec.listing(codec.compress(b))),
     "byte_hist": ("raw", bytestats.byte_hist),
+    "gzip_round_trip": ("packed", codec.decompress),
     # steps
 }
 
