@@ -481,6 +481,7 @@ def test_python_hands_on_a_slice_at_a_time(raws, monkeypatch, query):
 WALKS = [
     "stream_fingerprints",
     "block_spans",
+    "block_sizes",
     # walks
 ]
 
