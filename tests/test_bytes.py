@@ -457,6 +457,7 @@ STEPS = {
     "gzip_listing": ("raw", lambda b: codec.listing(codec.compress(b))),
     "byte_hist": ("raw", bytestats.byte_hist),
     "gzip_round_trip": ("packed", codec.decompress),
+    "match_histograms": ("packed", lambda p: deflate.match_histograms(deflate.tokens(deflate.blocks(p)))),
     # steps
 }
 
