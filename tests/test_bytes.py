@@ -483,6 +483,7 @@ WALKS = [
     "stream_fingerprints",
     "block_spans",
     "block_sizes",
+    "block_fingerprints",
     # walks
 ]
 
