@@ -484,6 +484,7 @@ WALKS = [
     "block_spans",
     "block_sizes",
     "block_fingerprints",
+    "walk_blocks",
     # walks
 ]
 
