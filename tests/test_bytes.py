@@ -458,7 +458,6 @@ STEPS = {
     "byte_hist": ("raw", bytestats.byte_hist),
     "gzip_round_trip": ("packed", codec.decompress),
     "match_histograms": ("packed", lambda p: deflate.match_histograms(deflate.tokens(deflate.blocks(p)))),
-    # steps
 }
 
 
@@ -485,7 +484,6 @@ WALKS = [
     "block_sizes",
     "block_fingerprints",
     "walk_blocks",
-    # walks
 ]
 
 
