@@ -502,3 +502,30 @@ def test_spans_of_an_empty_document(spark, tmp_path):
     spark.createDataFrame([(0, ""), (1, None), (2, "abc" * 50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r) for r in queries.block_spans(spark, str(tmp_path)).orderBy("stream_id").collect()]
     assert got == [(0, 1, 0, 0, 0, 0.0, None), (1, 1, 0, 0, 0, 0.0, None), (2, 1, 150, 150, 150, 150.0, 0.0)]
+
+
+#: Ids about the last whose time, id * 86,461 seconds, is within four bytes, one much later, and one without a time.
+LATE = (49_674, 49_675, 49_676, 49_677, 256_409, 7 * 30_000)
+
+
+@pytest.mark.parametrize("query", ["gzip_listing_detail"])
+def test_late_times_are_those_of_the_sql(spark, tmp_path, query):
+    """Times that a header can't hold, beside those that it can."""
+    import duckdb
+
+    from siltworks import catalog
+
+    spark.createDataFrame([(i, f"text {i}") for i in LATE], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(catalog.oracle_sql()[query])
+    columns = [c[0] for c in found.description]
+    got = catalog.queries()[query](spark, str(tmp_path)).select(*columns).orderBy("stream_id").collect()
+    assert [tuple(r) for r in got] == sorted(found.fetchall())
+
+
+def test_a_header_s_time_comes_before_the_file_s(spark):
+    blobs = spark.createDataFrame([(i, bytearray(b"abc"), t) for i, t in enumerate((5, 0, 1 << 32))], "stream_id long, raw binary, mtime long")
+    for keep, want in (F.lit(9), [5, 9, 9]), (F.lit(None).cast("long"), [5, 0, 0]):
+        files = codec.framed(codec.compress(blobs, 6, "raw"), blobs, mtime=F.col("mtime"), keep=(keep.alias("file_time"),))
+        assert [r.mtime for r in codec.headers(files).orderBy("stream_id").collect()] == want
