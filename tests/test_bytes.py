@@ -508,7 +508,7 @@ def test_spans_of_an_empty_document(spark, tmp_path):
 LATE = (49_674, 49_675, 49_676, 49_677, 256_409, 7 * 30_000)
 
 
-@pytest.mark.parametrize("query", ["gzip_listing_detail"])
+@pytest.mark.parametrize("query", ["gzip_listing_detail", "gzip_named"])
 def test_late_times_are_those_of_the_sql(spark, tmp_path, query):
     """Times that a header can't hold, beside those that it can."""
     import duckdb
