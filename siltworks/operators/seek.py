@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,73 @@ from siltworks.operators.batches import SLICE, id_type, slices
 INTERVAL = 4 << 20
 #: Bytes before it that a place in a stream may refer to.
 HISTORY = 32 << 10
+#: Bytes handed to the decoder at once.
+PIECE = 1 << 16
+#: Bytes of input that are tried for the end of a block, one by one, before the blocks are walked.
+TRIED = 1 << 10
+#: A last block of random bytes, stored: a decoder takes it for these bytes and an end where a block may begin on a whole byte, and nowhere else.
+NONCE = os.urandom(16)
+PROBE = struct.pack("<BHH", 1, len(NONCE), len(NONCE) ^ 0xFFFF) + NONCE
+
+
+def may_begin(data: bytes, at: int) -> bool:
+    """Whether the first bits of a block could lie at byte ``at``."""
+    kind = data[at] >> 1 & 3
+    if kind == 0:
+        return len(data) >= at + 5 and data[at + 1] ^ data[at + 3] == 0xFF and data[at + 2] ^ data[at + 4] == 0xFF
+    return kind == 1 or kind == 2 and data[at] >> 3 < 30 and data[at + 1] & 31 < 30
+
+
+def begins(probe) -> bool:
+    """Whether the decoder awaits a block on a whole byte; it is spent by this."""
+    try:
+        return probe.decompress(PROBE) == NONCE and probe.eof
+    except zlib.error:
+        return False
+
+
+def block_ends(data: bytes, body: int, interval: int) -> Iterator[tuple[int, int]]:
+    """(byte after it, bytes of output) of blocks of the stream at byte ``body`` that end on a whole byte and aren't the last one, each the first with ``interval`` bytes of output since the one before.
+
+    The decoder runs to just before as many bytes. From there on it is asked after every byte whether a block may begin; where none does soon, the blocks are walked from
+    the end before. Behind the last one comes (byte after the stream, -1). ``data`` is a stream that the codec takes.
+    """
+    from siltworks.operators.deflate import spans_of, walk
+
+    piece = min(PIECE, max(64, interval))
+    d, at, out, base, reached = zlib.decompressobj(-15), body, 0, body, 0
+    while True:
+        # the byte that would make it enough stays inside, and with it what comes after
+        while not d.eof and out < reached + interval - 1:
+            part = data[at : at + piece]
+            out += len(d.decompress(part, reached + interval - 1 - out))
+            at += len(part) - len(d.unconsumed_tail) - len(d.unused_data)
+        # at first only what is read already comes out
+        part, limit, found = b"", at + TRIED, False
+        while not d.eof and not found and at + len(part) < limit:
+            out += len(d.decompress(part))
+            at += len(part)
+            part = data[at : at + 1]
+            if at > base and out - reached >= interval and not d.eof and may_begin(data, at):
+                found = begins(d.copy())
+        if not d.eof and not found:
+            made = reached
+            for start, head, bits, _, final, _, tokens in walk(data, base):
+                made += int(spans_of(tokens).sum())
+                end = start + head + bits
+                if not final and end % 8 == 0 and made - reached >= interval:
+                    found = True
+                    break
+            end = base + (end + 7) // 8
+            while at < end:
+                part = data[at : min(at + piece, end)]
+                out += len(d.decompress(part))
+                at += len(part)
+        if d.eof:
+            yield at, -1
+            return
+        yield at, out
+        base, reached = at, out
 
 
 def index_build(packed: DataFrame, interval: int = INTERVAL) -> DataFrame:
@@ -24,22 +95,18 @@ def index_build(packed: DataFrame, interval: int = INTERVAL) -> DataFrame:
     output since that one, the last 32 KiB of it at most: the windows up to a checkpoint, put together, end in the 32 KiB that its decoder
     needs (``histories``), and all of them hold no more than the output once. Streams of several members are refused, as the error says.
     """
-    from siltworks.operators.deflate import header_end, spans_of, walk
+    from siltworks.operators.deflate import header_end
 
     def rows_of(data: bytes) -> Iterator[tuple]:
         body = header_end(data, 0)
         raw = zlib.decompress(data, 31)
-        n = out = reached = 0
         yield 0, body, 0, b"", None
-        for start, head, bits, _, final, _, tokens in walk(data, body):
-            out += int(spans_of(tokens).sum())
-            end = start + head + bits
-            if not final and end % 8 == 0 and out - reached >= interval:
-                n += 1
-                yield n, body + end // 8, out, raw[max(reached, out - HISTORY) : out], None
+        reached = 0
+        for n, (at, out) in enumerate(block_ends(data, body, interval), 1):
+            if out >= 0:
+                yield n, at, out, raw[max(reached, out - HISTORY) : out], None
                 reached = out
-            last = body + (end + 7) // 8
-        if last + 8 != len(data):
+        if at + 8 != len(data):
             raise ValueError("several members")
 
     def one(data: bytes) -> list[tuple]:
@@ -78,20 +145,58 @@ def as_of(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return found.where("asked is not null").select("asked.*", "p.point", "p.input_at", "p.output_at")
 
 
-def histories(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """(stream_id, point, history): the 32 KiB before each checkpoint asked for (stream_id, point, output_at), from the windows that reach into them."""
-    ends = index.where("error is null").select("stream_id", "output_at", "window", F.floor(F.col("output_at") / HISTORY).alias("part"))
-    each = asked.select("stream_id", "point", F.col("output_at").alias("until"), F.explode(F.array(F.floor(F.col("output_at") / HISTORY), F.floor(F.col("output_at") / HISTORY) - 1)).alias("part"))
-    met = each.join(ends, ["stream_id", "part"]).where(F.col("output_at").between(F.col("until") - HISTORY + 1, F.col("until")))
-    joined = met.groupBy("stream_id", "point").agg(F.expr("listagg(window) WITHIN GROUP (ORDER BY output_at)").alias("all"))
-    return joined.select("stream_id", "point", F.expr(f"substring(all, greatest(octet_length(all) - {HISTORY}, 0) + 1)").alias("history"))
+def histories(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """``as_of`` of ``wanted`` (stream_id, offset, size) with ``history``, the 32 KiB before the checkpoint, from the windows that reach into them.
+
+    The checkpoints and what asks are sorted by their place once, and each asked place takes its history from the rows before it: the index is read, and moved, once.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*carry, batch]).combine_chunks().to_batches()[0]
+            n, ids, window = t.num_rows, t.column("stream_id"), t.column("window")
+            here, asked = np.arange(n), t.column("asked").to_numpy(zero_copy_only=False)
+            changes = pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            # the row that a stream begins with, the last checkpoint so far, and the first one that reaches into the 32 KiB before it
+            first = np.maximum.accumulate(np.where(np.append(True, changes), here, 0))
+            last = np.maximum.accumulate(np.where(asked, -1, here))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(window), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            reach = np.maximum(first, np.searchsorted(ends, ends[last] - HISTORY, "right"))
+            found, rows, held = [], [], 0
+            for k in np.flatnonzero(asked).tolist():
+                known = last[k] >= first[k]
+                rows.append(k)
+                found.append(b"".join(window.slice(reach[k], last[k] + 1 - reach[k]).drop_null().to_pylist())[-HISTORY:] if known else None)
+                held += len(found[-1] or b"")
+                if held >= SLICE:
+                    yield told(t, np.array(rows), last, first, found)
+                    found, rows, held = [], [], 0
+            if rows:
+                yield told(t, np.array(rows), last, first, found)
+            points = here[reach[-1] : last[-1] + 1] if last[-1] >= first[-1] else here[:0]
+            carry = [t.take(pa.array(points[~asked[points]]))]
+
+    def told(t: pa.RecordBatch, rows: np.ndarray, last: np.ndarray, first: np.ndarray, found: list[bytes | None]) -> pa.RecordBatch:
+        own, at = t.take(pa.array(rows)), pa.array(last[rows], mask=last[rows] < first[rows])
+        point, input_at, output_at = (t.column(c).take(at) for c in ("point", "input_at", "at"))
+        return pa.RecordBatch.from_arrays([*(own.column(c) for c in ("stream_id", "at", "size")), point, input_at, output_at, pa.array(found, pa.binary())], names=names)
+
+    names = ["stream_id", "offset", "size", "point", "input_at", "output_at", "history"]
+    none = lambda kind, *cols: [F.lit(None).cast(kind).alias(c) for c in cols]
+    known = index.where("error is null and stream_id is not null and output_at is not null")
+    points = known.select("stream_id", F.col("output_at").alias("at"), F.lit(False).alias("asked"), *none("long", "size"), "point", "input_at", "window")
+    asked = wanted.select("stream_id", F.col("offset").cast("long").alias("at"), F.lit(True).alias("asked"), F.col("size").cast("long").alias("size"), *none("long", "point", "input_at"), *none("binary", "window"))
+    # checkpoints before what asks for the same place, the highest of equal ones last
+    placed = points.union(asked).repartition("stream_id").sortWithinPartitions("stream_id", "at", "asked", "point", "input_at")
+    return placed.mapInArrow(met, f"stream_id {id_type(wanted)}, offset long, size long, point long, input_at long, output_at long, history binary")
 
 
 def index_seek(packed: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
     """(stream_id, offset, part, error): ``size`` bytes from each offset on, decoded from the checkpoint before it."""
-    found = as_of(wanted, index.drop("window"))
-    before = histories(found.where("output_at > 0").select("stream_id", "point", "output_at").distinct(), index)
-    met = found.join(before, ["stream_id", "point"], "left").join(packed.select("stream_id", "packed"), "stream_id", "left")
+    met = histories(wanted, index).join(packed.select("stream_id", "packed"), "stream_id", "left")
 
     def one(data: bytes | None, offset: int, size: int, at: int | None, out: int, history: bytes | None) -> tuple:
         if data is None or at is None:
@@ -124,7 +229,6 @@ WINDOW, MASK, LEAST, MOST = 8192, 0x1FFFF, 32 << 10, 512 << 10
 
 def rolling_cuts(blobs: DataFrame, window: int = WINDOW, mask: int = MASK, least: int = LEAST, most: int = MOST) -> DataFrame:
     """(stream_id, block, start, size): content-defined blocks, cut where the sum of the last ``window`` bytes has all bits of ``mask``."""
-    import numpy as np
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

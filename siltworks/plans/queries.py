@@ -217,7 +217,8 @@ def deflate64_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index_seek(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     blobs = table_blobs(spark, sf_dir, table)
-    framed = codec.framed(codec.reassembled(codec.chunked(blobs, 128)), blobs)
+    # dealt out by id once, for the index and for what is read by it
+    framed = codec.framed(codec.reassembled(codec.chunked(blobs, 128)), blobs).repartition("stream_id")
     wanted = blobs.select("stream_id", F.floor(F.octet_length("raw") / 2).alias("offset"), F.lit(100).alias("size"))
     got = seek.index_seek(framed, seek.index_build(framed, 512), wanted)
     return got.select("stream_id", "offset", F.sha2("part", 256).alias("sha256"))

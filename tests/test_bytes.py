@@ -529,3 +529,68 @@ def test_a_header_s_time_comes_before_the_file_s(spark):
     for keep, want in (F.lit(9), [5, 9, 9]), (F.lit(None).cast("long"), [5, 0, 0]):
         files = codec.framed(codec.compress(blobs, 6, "raw"), blobs, mtime=F.col("mtime"), keep=(keep.alias("file_time"),))
         assert [r.mtime for r in codec.headers(files).orderBy("stream_id").collect()] == want
+
+
+def flushed(raw, level, strategy, size, flush):
+    """A gzip blob of chunks that end with ``flush``."""
+    c = zlib.compressobj(level, zlib.DEFLATED, -15, 1, strategy)
+    body = b"".join(c.compress(raw[k : k + size]) + c.flush(flush) for k in range(0, len(raw), size)) + c.flush()
+    return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + zlib.crc32(raw).to_bytes(4, "little") + len(raw).to_bytes(4, "little")
+
+
+@pytest.mark.parametrize("flush", [zlib.Z_NO_FLUSH, zlib.Z_SYNC_FLUSH, zlib.Z_PARTIAL_FLUSH, zlib.Z_BLOCK])
+def test_checkpoints_are_the_walk_s(flush):
+    """What the codec says of blocks' ends is what walking them says, where they are near and where they are far."""
+    words = " ".join(R.choice(("the", "window", "of", "bits")) + str(R.randrange(99)) for _ in range(4000)).encode()
+    for raw in (b"", b"a", words, R.randbytes(30_000), b"\0\0\xff\xff" * 9000):
+        for level, strategy in ((0, zlib.Z_DEFAULT_STRATEGY), (6, zlib.Z_DEFAULT_STRATEGY), (6, zlib.Z_FIXED), (9, zlib.Z_HUFFMAN_ONLY)):
+            data = flushed(raw, level, strategy, 128, flush)
+            for interval in (1, 512, 5000):
+                want, out, reached = [], 0, 0
+                for start, head, bits, _, final, _, tokens in deflate.walk(data, 10):
+                    out, end = out + int(deflate.spans_of(tokens).sum()), start + head + bits
+                    if not final and end % 8 == 0 and out - reached >= interval:
+                        want.append((10 + end // 8, out))
+                        reached = out
+                assert list(seek.block_ends(data, 10, interval)) == [*want, (len(data) - 8, -1)]
+
+
+def test_flushed_chunks_are_indexed_without_a_walk(monkeypatch):
+    def refused(*_):
+        raise AssertionError("walked")
+
+    text = " ".join(str(k * 7919 % 10007) for k in range(9000)).encode()
+    data = flushed(text, 6, zlib.Z_DEFAULT_STRATEGY, 128, zlib.Z_SYNC_FLUSH)
+    monkeypatch.setattr(deflate, "walk", refused)
+    found, frame = [], type("Frame", (), {"columns": ["stream_id", "packed"], "schema": {"stream_id": type("Id", (), {"dataType": type("T", (), {"simpleString": lambda: "long"})})}})()
+    frame.select, frame.mapInArrow = lambda *_: frame, lambda f, schema: found.append(f)
+    seek.index_build(frame, 512)
+    import pyarrow as pa
+
+    (rows,) = found[0](iter([pa.RecordBatch.from_arrays([pa.array([3]), pa.array([data], pa.binary())], names=["stream_id", "packed"])]))
+    assert rows.column("error").null_count == rows.num_rows == len(text) // 512 + 1
+
+
+def test_histories_reach_over_batches(spark):
+    text = bytes(R.randrange(97, 110) for _ in range(80_000))
+    blobs = spark.createDataFrame([(k, bytearray(text[: 20_000 * k])) for k in range(5)], "stream_id long, raw binary")
+    index = seek.index_build(codec.framed(codec.reassembled(codec.chunked(blobs, 500)), blobs), 1000).cache()
+    places = [(k, min(o, 20_000 * k), 9) for k in range(5) for o in (0, 999, 1000, 1001, 33_000, 70_001, 80_000)] + [(9, 5, 9), (None, 5, 9)]
+    wanted = spark.createDataFrame(places, "stream_id long, offset long, size long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = seek.histories(wanted, index).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, ((r.stream_id, r.offset, r["size"]) for r in got))) == sorted(map(str, places))
+    as_of = {(r.stream_id, r.offset): (r.point, r.input_at, r.output_at) for r in seek.as_of(wanted, index.drop("window")).collect()}
+    for r in got:
+        assert as_of[r.stream_id, r.offset] == (r.point, r.input_at, r.output_at)
+        assert r.history is None and r.point is None if r.stream_id in (9, None) else bytes(r.history) == text[max(0, r.output_at - 32_768) : r.output_at]
+
+
+def test_index_seek_reads_its_index_once(spark):
+    from siltworks.plans import queries
+
+    plan = queries.index_seek(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("points(") == 1
